@@ -91,33 +91,55 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
 
 
 class BitFilter:
-    """A fixed-size bit set over long ids, built by aggregation; false positives only.
+    """A fixed-size bit set, built by aggregation; false positives only.
 
     The driver holds at most ``max_bits / 8`` bytes whatever the number of ids.
     """
 
-    def __init__(self, ids: DataFrame, max_bits: int = 1 << 26) -> None:
-        """`ids` has one long column."""
+    def __init__(self, ids: DataFrame, hashed: bool = False, max_bits: int = 1 << 26) -> None:
+        """`ids` has one long column; `hashed`: it holds hashes whose low bits are the position."""
         (name,) = ids.columns
         n = ids.count()
-        bits = 1 << 12
-        while bits < 16 * n and bits < max_bits:
-            bits *= 2
-        at = F.pmod(F.xxhash64(name), F.lit(bits))
+        self.bits = 1 << 12
+        while self.bits < 16 * n and self.bits < max_bits:
+            self.bits *= 2
+        at = (F.col(name).bitwiseAND(self.bits - 1) if hashed else self.column(name)).cast("int")
         words = (
-            ids.select(F.floor(at / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(32)).cast("int")).alias("bit"))
+            ids.select(F.floor(at / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(32))).alias("bit"))
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bits"))
             .toArrow()
         )
-        self.n, self.bits = n, bits
-        self.words = np.zeros(bits // 32, dtype=np.uint32)
+        self.words = np.zeros(self.bits // 32, dtype=np.uint32)
         self.words[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
 
     def column(self, name: str):
-        """The bit position of an id, to be computed by Spark beside the id."""
+        """The position of an id, to be computed by Spark beside the id."""
         return F.pmod(F.xxhash64(name), F.lit(self.bits)).cast("int")
 
     @staticmethod
     def test(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        at = at.astype(np.int64)
         return (words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+
+    @staticmethod
+    def test_hashes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return BitFilter.test(words, hashes & np.uint64(32 * len(words) - 1))
+
+
+#: What identifies a document: its id, which may be null, and a hash of its text.
+KEY = ["_no_id", "_id", "_text_key"]
+
+
+def key_columns() -> list:
+    """The columns of KEY, from doc_id and text."""
+    return [
+        F.col("doc_id").isNull().alias("_no_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("_text_key"),
+    ]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Every row of `docs` as one struct `row`, so that no name can clash, and its key."""
+    return docs.select(F.struct("*").alias("row"), *key_columns())

@@ -114,7 +114,7 @@ class Words:
 
     __slots__ = ("data", "ends", "first", "hashes", "offsets", "sums", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, values: np.ndarray = VALUES) -> None:
         self.data, self.offsets = data, offsets
         inside = table[data]
         start, end = inside.copy(), inside.copy()
@@ -131,7 +131,7 @@ class Words:
         up, down = _POWERS.get(len(data) + 1)
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(VALUES[data] * up[: len(data)], out=self.sums[1:])
+            np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
             self.hashes = mix((self.sums[self.ends] - self.sums[self.starts]) * down[self.starts])
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -165,6 +165,15 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         return mix(out + _U(width))
 
 
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each segment of a sequence of word hashes, whatever its length."""
+    up, down = _POWERS.get(len(values) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def whole(hashes: np.ndarray) -> np.ndarray:
     """The one hash of a sequence of words that is shorter than a window."""
     return windows(hashes, len(hashes)) if len(hashes) else np.empty(0, dtype=np.uint64)
