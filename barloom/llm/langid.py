@@ -266,7 +266,7 @@ def languages(spark: SparkSession, docs: DataFrame, modulus: int = 5, held: int
     return predict(spark, docs, model, ["doc_id", "held_out"])
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.5, modulus: int = 5, held: int = 0, **options) -> DataFrame:
+def keep_known(spark: SparkSession, docs: DataFrame, least: float = 0.4, modulus: int = 5, held: int = 0, **options) -> DataFrame:
     """The rows of `docs` whose language is told with a share of at least `least`; all columns as they were."""
     model = fit(spark, typed(docs).withColumn("held_out", fold(modulus) == held).where(~F.col("held_out")), **options)
     held_model = spark.sparkContext.broadcast(model)

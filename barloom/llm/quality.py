@@ -4,7 +4,8 @@ Two zstandard dictionaries are built, one from texts labelled good and one
 from texts labelled bad.  A text is compressed with each; the difference of
 the sizes, divided by their sum, says which kind it resembles, and a logistic
 curve fitted on labelled texts that neither dictionary has seen turns it into
-a probability.
+a probability.  The curve also sees how far the text shrank at all, since the
+difference says little of a text that hardly leaves anything (repetitions).
 
 The fit uses a bounded sample of labelled rows: of each label at most
 ``rows_per_label`` documents in the order of a hash of their ids, and of these
@@ -12,7 +13,7 @@ as many as fit in ``bytes_per_label``.  Every text is then scored whole, in
 blocks of ``BLOCK_BYTES`` that are compressed one by one, so that a
 dictionary counts in every part of a long text.
 
-Defined cases: null and empty texts are scored like a text of no difference;
+Defined cases: null and empty texts have the score 0.5;
 rows are scored one by one, so equal rows get equal scores; a null id falls in
 the training fold but matches no label; documents with labels of both kinds
 count for both; with no labels the score is 0.5, with one kind only it is that
@@ -62,45 +63,52 @@ def _compressors(dictionaries: tuple[bytes, bytes]) -> list[zstandard.ZstdCompre
     return out
 
 
-def difference(compressors, text: bytes) -> float:
-    """(size with the bad dictionary - size with the good one) / their sum; 0 for an empty text."""
+def measures(compressors, text: bytes) -> tuple[float, float]:
+    """(size with the bad dictionary - size with the good one) / their sum, and the log of their mean share of the length; 0 for an empty text."""
     sizes = [0, 0]
     for at in range(0, len(text), BLOCK_BYTES):
         block = text[at : at + BLOCK_BYTES]
         for k, c in enumerate(compressors):
             sizes[k] += len(c.compress(block))
     total = sizes[0] + sizes[1]
-    return (sizes[0] - sizes[1]) / total if total else 0.0
+    return ((sizes[0] - sizes[1]) / total, math.log(total / (2 * len(text)))) if total else (0.0, 0.0)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
-    """(slope, intercept, scale) of a logistic curve, by Newton steps with a weak prior."""
-    scale = float(np.std(x)) or 1.0
-    z = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def inputs(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """What the curve is linear in: both measures, and the square of the second."""
+    z = np.clip((x - centre) / scale, -20, 20)
+    return np.column_stack([z, z[:, 1] ** 2, np.ones(len(z))])
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, each: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, centre, scale) of a logistic curve, by Newton steps with a weak prior; each: the weights of the rows."""
+    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = inputs(x, centre, scale)
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) + 0.01 * w
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
+        gradient = z.T @ (each * (p - y)) + 0.1 * w
+        hessian = (z * (each * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1]), scale
+    return w, centre, scale
 
 
 class Model:
     """Dictionaries and the curve; of bounded size whatever the corpus."""
 
-    def __init__(self, dictionaries: tuple[bytes, bytes] | None, curve: tuple[float, float, float] | None, share: float) -> None:
+    def __init__(self, dictionaries: tuple[bytes, bytes] | None, curve: tuple | None, share: float) -> None:
         self.dictionaries, self.curve, self.share = dictionaries, curve, share
 
-    def score(self, compressors, text: bytes) -> float:
+    def scores(self, compressors, texts: list[bytes]) -> np.ndarray:
         if self.curve is None:
-            return self.share
-        slope, intercept, scale = self.curve
-        t = slope * difference(compressors, text) / scale + intercept
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, t))))
+            return np.full(len(texts), self.share)
+        weights, centre, scale = self.curve
+        x = np.array([measures(compressors, t) for t in texts]).reshape(-1, 2)
+        t = np.where(np.array([len(t) for t in texts]) > 0, inputs(x, centre, scale) @ weights, 0.0)
+        return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
 def fit(
@@ -114,6 +122,7 @@ def fit(
     """Dictionaries from one half of the sample, the curve from the other; docs and labels: training rows only."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) >= 1).cast("int").alias("y")).distinct()
     marked = marked.withColumn("order", F.xxhash64("doc_id"))
+    shares = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     sample = None
     for y in (0, 1):
         part = marked.where(F.col("y") == y).orderBy("order", "doc_id").limit(rows_per_label)
@@ -125,15 +134,17 @@ def fit(
     rows = rows.withColumn("bytes", fits).where(F.col("bytes") <= bytes_per_label).orderBy("y", "order", "text").select("y", "text").toArrow()
     y = np.array(rows["y"].to_pylist(), dtype=np.int64)
     texts = [t.encode() for t in rows["text"].to_pylist()]
-    share = (int(y.sum()) + 1) / (len(y) + 2)
+    share = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
     kinds = [[t for t, v in zip(texts, y.tolist()) if v == k] for k in (0, 1)]
     if min(map(len, kinds)) < 2:
         return Model(None, None, share)
     dictionaries = tuple(_dictionary(k[::2], DICTIONARY_BYTES) for k in kinds)
     compressors = _compressors(dictionaries)
-    x = np.array([difference(compressors, t) for k in kinds for t in k[1::2]])
+    x = np.array([measures(compressors, t) for k in kinds for t in k[1::2]])
     target = np.concatenate([np.full(len(k[1::2]), float(v)) for v, k in enumerate(kinds)])
-    return Model(dictionaries, fit_curve(x, target), share)
+    # the labels' own shares, not those of the sample, make the score a probability
+    prior = np.array([shares[int(v)] / max(1, int((target == v).sum())) for v in target.tolist()])
+    return Model(dictionaries, fit_curve(x, target, prior / prior.mean()), share)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -146,7 +157,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, o = X.column_bytes(batch.column(2))
             text = data.tobytes()
-            s = np.array([own.score(compressors, text[a:b]) for a, b in zip(o[:-1].tolist(), o[1:].tolist())], dtype=np.float64)
+            s = own.scores(compressors, [text[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
