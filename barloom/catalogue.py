@@ -333,11 +333,11 @@ def position_sizing(spark, d):
     return c.select("symbol", "signal_idx", F.round(lots, DIGITS).alias("lots"), reason.alias("reason"))
 
 
-@query(S.with_(S.fold(), recursive=True) + f"SELECT symbol, signal_idx, entry_idx, exit_idx, CAST(direction AS INTEGER) AS direction, {r('fill')} AS entry_price, {r('exit_price')} AS exit_price, {r('lots')} AS lots, round(costs, 7) AS costs, round(pnl, 7) AS pnl, exit_reason FROM trades")
+@query(S.with_(S.fold(), recursive=True) + f"SELECT symbol, signal_idx, entry_idx, exit_idx, CAST(direction AS INTEGER) AS direction, {r('fill')} AS entry_price, {r('exit_price')} AS exit_price, {r('lots')} AS lots, round(costs, 8) AS costs, round(pnl, 8) AS pnl, exit_reason FROM trades")
 def trades_greedy(spark, d):
     t = simulate.trades_of(_trades(spark, d))
-    # a price and lots of two decimals and a rate of three make seven: rounding to fewer would meet ties
-    t = rounded(t, "entry_price", "exit_price", "lots").withColumns({c: F.round(c, 7) for c in ("costs", "pnl")})
+    # a price of three decimals, lots of two and a rate of three make eight: rounding to fewer would meet ties
+    t = rounded(t, "entry_price", "exit_price", "lots").withColumns({c: F.round(c, 8) for c in ("costs", "pnl")})
     return t.select("symbol", "signal_idx", "entry_idx", "exit_idx", "direction", "entry_price", "exit_price", "lots", "costs", "pnl", "exit_reason")
 
 
