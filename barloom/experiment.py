@@ -1,0 +1,109 @@
+"""A whole experiment: quality, seals, splits, search, out-of-sample evaluation, statistics, verdict, report."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom import governance as G
+from barloom.operators import quality, regimes, simulate, splits, stats
+from barloom.plans.compiler import evaluate
+from barloom.functions.expr import n
+from barloom.search.control import Island
+from barloom.search.evaluate import evaluate_genomes
+from barloom.search.genomes import Genome
+
+
+@dataclass(frozen=True)
+class Config:
+    symbol: str
+    split: splits.SplitConfig
+    costs: simulate.Costs
+    population: int = 10
+    generations: int = 4
+    seed: int = 0
+    timeframe_seconds: int = 3600
+    tick: float = 0.01
+    battery: int = 10
+    pbo_groups: int = 8
+    require_quality: bool = True
+
+
+def bar_returns(bars: DataFrame, g: Genome, span: tuple[int, int], costs: simulate.Costs) -> DataFrame:
+    """t, cand, ret: per-bar returns of one rule over a range."""
+    rows = evaluate(bars.where((F.col("bar_idx") >= span[0]) & (F.col("bar_idx") < span[1])), {"entry_long": g.entry_long, "entry_short": g.entry_short, "allow": g.allow, "atr": n("atr", period=g.risk.atr_period)})
+    eq = simulate.equity_curve(rows, simulate.trades_of(simulate.simulate(rows, g.risk, costs)), costs)
+    before = F.lag("equity").over(simulate.series())
+    return eq.select(F.col("bar_idx").alias("t"), F.lit(g.digest).alias("cand"), (F.col("equity") / before - 1).alias("ret")).where("ret is not null")
+
+
+def run(bars: DataFrame, config: Config, folder: str, progress: Callable[[str, dict], None] = lambda stage, facts: None) -> dict:
+    """The report; files go to `folder`."""
+    out = Path(folder)
+    out.mkdir(parents=True, exist_ok=True)
+    bars = bars.where(F.col("symbol") == config.symbol).persist()
+    if config.require_quality:
+        quality.require_quality(bars, config.timeframe_seconds, config.tick)
+    data = G.manifest(bars)
+    G.write_once(str(out / "manifest.json"), data)
+    plan = splits.walk_forward(data["n_bars"], config.split)
+    e = G.Experiment(config.symbol)
+    e.seal("plan", G.digest_of(plan.rows()))
+    e.seal("data", data["content"])
+    e.move("SEALED")
+    progress("sealed", data)
+    research = G.Lockbox(e, plan).research(bars)
+    e.move("SEARCHING")
+
+    fold = plan.folds[0]
+    train_end = max(b for _, b in fold.train)
+    train = research.where(F.col("bar_idx") < train_end)
+    router = regimes.fit_router(train)
+    best_regime = regimes.dominant(regimes.dwell(regimes.raw_regimes(train, router))).first()
+    island = Island(research, config.symbol, [val for _, val in fold.inner], config.costs, config.population, config.seed, regimes.REGIMES[best_regime["regime"]] if best_regime else "UNKNOWN")
+    champion = island.run(config.generations)
+    progress("searched", island.telemetry[-1])
+    report = {"symbol": config.symbol, "telemetry": island.telemetry, "interventions": island.stagnation.log, "champion": champion, "reproduction": G.reproduction(), "costs": asdict(config.costs)}
+    if champion is None:
+        e.move("NO_EDGE_FOUND")
+        return _finish(e, report | {"verdict": "NO_EDGE_FOUND"}, out)
+
+    e.move("FROZEN")
+    genome = island.genomes[champion]
+    oos = evaluate_genomes(research, [genome], [fold.test], config.costs).first().asDict()
+    battery = None
+    for d in island._ranked(list(island.known))[: config.battery]:
+        part = bar_returns(research, island.genomes[d], fold.test, config.costs)
+        battery = part if battery is None else battery.unionByName(part)
+    battery = battery.persist()
+    facts: dict = {"out_of_sample": {k: v for k, v in oos.items() if k != "candidate"}}
+    n_cands, n_rows = battery.select("cand").distinct().count(), battery.select("t").distinct().count()
+    if n_cands >= 2 and n_rows >= 2 * config.pbo_groups:
+        facts["pbo"] = stats.overfitting_probability(stats.cscv(battery, config.pbo_groups)).first()["pbo"]
+        trials = stats.effective_trials(battery).first()["n_effective"]
+        moments = {r["cand"]: r.asDict() for r in stats.sharpe_moments(battery).collect()}
+        ratios = [m["sharpe"] for m in moments.values() if m["sharpe"] is not None]
+        if champion in moments and moments[champion]["n"] >= 8 and len(ratios) > 1:
+            mean = sum(ratios) / len(ratios)
+            facts["deflated_sharpe"] = stats.deflated_sharpe(moments[champion], max(1.0, trials or 1.0), sum((r - mean) ** 2 for r in ratios) / (len(ratios) - 1))
+    feasible = oos["n_trades_total"] > 0 and oos["fold_returns"][0] > 0
+    verdict = "SHORTLISTED" if feasible else "REJECTED"
+    if verdict == "SHORTLISTED" and facts.get("deflated_sharpe", 1.0) < 0.5:
+        verdict = "REJECTED"
+    e.move(verdict)
+    return _finish(e, report | facts | {"verdict": verdict}, out)
+
+
+def _finish(e: G.Experiment, report: dict, out: Path) -> dict:
+    G.forbid_lockbox(report)
+    e.save(str(out / "experiment.json"))
+    (out / "report.json").write_text(json.dumps(report, indent=1, default=str))
+    lines = [f"# {report['symbol']}: {report['verdict']}", "", f"Champion: {report['champion']}", f"Generations: {len(report['telemetry'])}"]
+    lines += [f"{k}: {report[k]}" for k in ("pbo", "deflated_sharpe", "out_of_sample") if k in report]
+    (out / "card.md").write_text("\n".join(lines) + "\n")
+    return report

@@ -1,0 +1,5 @@
+"""Evolutionary search over rules.
+
+The loop and its random numbers run on the driver; what is evaluated is one
+DataFrame for a whole generation.
+"""

@@ -1,0 +1,97 @@
+import numpy as np
+import pytest
+
+from barloom import experiment, export
+from barloom import governance as G
+from barloom.errors import ContractError, LockboxError, StateError
+from barloom.operators import simulate, splits
+from barloom.search.control import LADDER, Bandit, Island, Signals, Stagnation
+from barloom.search.genomes import MUTATIONS, crossover, mutate, random_genome
+from tests.helpers import random_bars
+
+COSTS = simulate.Costs(lot_size=1.0, max_lot=1e6)
+
+
+def test_random_rules_and_mutations_stay_valid():
+    rng = np.random.default_rng(0)
+    pool = [random_genome(rng, "A") for _ in range(40)]
+    for name in MUTATIONS:
+        changed = 0
+        for g in pool:
+            child, applied = mutate(rng, g, name)
+            child.check()
+            changed += applied
+            assert applied == (child.digest != g.digest)
+        assert changed
+    for a, b in zip(pool, pool[1:]):
+        crossover(rng, a, b).check()
+    assert all("double f_" in export.functions([g.entry_long]) or "bool f_" in export.functions([g.entry_long]) for g in pool)
+
+
+def test_bandit_and_ladder():
+    rng, b = np.random.default_rng(1), Bandit(("x", "y"))
+    for _ in range(60):
+        arm = b.choose(rng, "c")
+        b.update("c", arm, arm == "x")
+    assert b.mean("c", "x") > 0.8 > b.mean("c", "y")
+    s = Stagnation(patience=1)
+    s.observe(Signals(0, 0.0, 0.0, 1, 1.0, 5.0))
+    got = [s.observe(Signals(k, float(k), 0.0, 5 + k, 1.0, 5.0)) for k in range(1, 6)]
+    assert got == list(LADDER) and s.terminal
+
+
+def test_island_is_deterministic(spark):
+    bars = spark.createDataFrame(random_bars(260, 2)).cache()
+    runs = []
+    for _ in range(2):
+        island = Island(bars, "A", [(100, 180), (180, 250)], COSTS, size=3, seed=5, warm_up=60)
+        island.run(2)
+        runs.append((island.population, island.telemetry))
+    assert runs[0] == runs[1] and len(runs[0][0]) == 3
+
+
+def test_experiment(spark, tmp_path):
+    bars = spark.createDataFrame(random_bars(420, 8))
+    config = experiment.Config("A", splits.SplitConfig(1, 60, 2, 40, 5, 2, 60, 100), COSTS, population=2, generations=1, battery=2, pbo_groups=4)
+    seen = []
+    report = experiment.run(bars, config, str(tmp_path), lambda stage, facts: seen.append(stage))
+    assert report["verdict"] in ("NO_EDGE_FOUND", "SHORTLISTED", "REJECTED") and seen[0] == "sealed"
+    assert {p.name for p in tmp_path.iterdir()} == {"manifest.json", "experiment.json", "report.json", "card.md"}
+    assert G.Experiment.load(str(tmp_path / "experiment.json")).state == report["verdict"]
+    G.verify_manifest(str(tmp_path / "manifest.json"), bars.repartition(7))
+    with pytest.raises(StateError):
+        G.verify_manifest(str(tmp_path / "manifest.json"), bars.where("bar_idx > 0"))
+
+
+def test_lockbox_opens_once(spark):
+    bars = spark.createDataFrame(random_bars(420, 8))
+    plan = splits.walk_forward(420, splits.SplitConfig(1, 60, 2, 40, 5, 2, 60, 100))
+    e = G.Experiment("x")
+    box = G.Lockbox(e, plan)
+    with pytest.raises(LockboxError):
+        box.open(bars, "me", "early")
+    e.seal("plan", G.digest_of(plan.rows()))
+    e.seal("data", G.content_digest(bars))
+    for s in ("SEALED", "SEARCHING", "FROZEN"):
+        e.move(s)
+    with pytest.raises(LockboxError):
+        box.open(bars.limit(10), "me", "other data")
+    assert box.open(bars, "me", "final").count() == 60
+    with pytest.raises(LockboxError):
+        box.open(bars, "me", "again")
+    with pytest.raises(StateError):
+        e.seal("plan", "other")
+
+
+def test_contracts(tmp_path):
+    with pytest.raises(ContractError):
+        G.forbid_lockbox({"a": [{"lockbox": 1}]})
+    good = dict(name="slow_trend", causal=True, inputs=["close"], output="zscore", lookback_parameters=["p"], complexity=3, hypothesis="h", failure_mode="f")
+    assert G.check_proposal(good) == good
+    for k, v in dict(name="X", causal=False, inputs=["future"], output="bool", lookback_parameters=[], complexity=0, hypothesis="", failure_mode="import os").items():
+        with pytest.raises(ContractError):
+            G.check_proposal(good | {k: v})
+    G.write_once(str(tmp_path / "m"), {"a": 1})
+    G.write_once(str(tmp_path / "m"), {"a": 1})
+    with pytest.raises(StateError):
+        G.write_once(str(tmp_path / "m"), {"a": 2})
