@@ -329,7 +329,7 @@ def exit_scan(spark, d):
 )
 def position_sizing(spark, d):
     c = simulate.entry_candidates(signals(spark, d), RISK, COSTS).where("stop is not null")
-    lots, reason = simulate.sizing(F.lit(100_000.0), F.col("stop"), F.col("fill"), RISK, COSTS)
+    lots, reason = simulate.sizing(F.lit(100_000.0), F.col("stop"), F.col("fill"), RISK.risk_per_trade, COSTS)
     return c.select("symbol", "signal_idx", F.round(lots, DIGITS).alias("lots"), reason.alias("reason"))
 
 

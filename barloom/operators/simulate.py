@@ -104,9 +104,9 @@ def round_lot(lots: Column, c: Costs) -> Column:
     return F.when(lots < c.min_lot, 0.0).otherwise(F.least(grid, F.lit(c.max_lot)))
 
 
-def sizing(equity: Column, stop: Column, price: Column, risk: Risk, c: Costs) -> tuple[Column, Column]:
+def sizing(equity: Column, stop: Column, price: Column, risk_per_trade: Column | float, c: Costs) -> tuple[Column, Column]:
     """(lots, reason not to trade or null)."""
-    want = equity * risk.risk_per_trade / stop
+    want = equity * risk_per_trade / stop
     most = equity * c.max_leverage
     quantity = F.when(want * price > most, most / price).otherwise(want)
     lots = round_lot(quantity / c.lot_size, c)
@@ -119,11 +119,22 @@ def _half_spread(c: Costs) -> Column:
     return points * c.tick_size / 2
 
 
-def entry_candidates(signals: DataFrame, risk: Risk, costs: Costs) -> DataFrame:
+def risk_of(df: DataFrame, risk: Risk | None):
+    """How a risk parameter is read: from the struct column `risk` where runs differ in it, else a literal."""
+    if "risk" in df.columns:
+        return lambda name: F.col("risk")[name]
+    if risk is None:
+        raise PolicyError("neither a risk block nor a column of them")
+    return lambda name: F.lit(getattr(risk, name))
+
+
+def entry_candidates(signals: DataFrame, risk: Risk | None, costs: Costs) -> DataFrame:
     """Every bar whose signal could be traded, with the fill on the next bar's open, stop and target.
 
-    `signals`: bars with entry_long, entry_short, allow (never null) and atr.
+    `signals`: bars with entry_long, entry_short, allow (never null) and atr,
+    and `risk` (a struct of the block's fields) if it is not the same for all.
     """
+    own = risk_of(signals, risk)
     w = series()
     slip = costs.slippage_points * costs.tick_size
     rows = signals.withColumns({"_hs": _half_spread(costs), "_last": F.max("bar_idx").over(W.partitionBy("symbol"))})
@@ -131,7 +142,7 @@ def entry_candidates(signals: DataFrame, risk: Risk, costs: Costs) -> DataFrame:
     rows = rows.where(F.col("allow") & (F.col("entry_long") != F.col("entry_short")) & (F.col("bar_idx") < F.col("_last")))
     side = F.when(F.col("entry_long"), 1).otherwise(-1)
     ok = F.col("atr").isNotNull() & ~F.isnan("atr") & (F.col("atr") > 0) & (F.col("atr") < float("inf"))
-    rows = rows.withColumns({"direction": side, "fill": F.col("_open") + side * (F.col("_hs_next") + slip), "stop": F.when(ok, risk.sl_atr * F.col("atr"))})
+    rows = rows.withColumns({"direction": side, "fill": F.col("_open") + side * (F.col("_hs_next") + slip), "stop": F.when(ok, own("sl_atr") * F.col("atr"))})
     return rows.select(
         "symbol",
         F.col("bar_idx").alias("signal_idx"),
@@ -140,13 +151,14 @@ def entry_candidates(signals: DataFrame, risk: Risk, costs: Costs) -> DataFrame:
         "fill",
         "stop",
         (F.col("fill") - F.col("direction") * F.col("stop")).alias("sl"),
-        F.when(ok, F.col("fill") + F.col("direction") * risk.tp_atr * F.col("atr")).alias("tp"),
-        F.least(F.col("bar_idx") + 1 + risk.max_bars, "_last").alias("until_idx"),
+        F.when(ok, F.col("fill") + F.col("direction") * own("tp_atr") * F.col("atr")).alias("tp"),
+        F.least(F.col("bar_idx") + 1 + own("max_bars"), "_last").alias("until_idx"),
         F.col("_last").alias("last_idx"),
+        *(["risk"] if "risk" in signals.columns else []),
     )
 
 
-def exit_scan(candidates: DataFrame, signals: DataFrame, risk: Risk, costs: Costs, block: int = 256) -> DataFrame:
+def exit_scan(candidates: DataFrame, signals: DataFrame, risk: Risk | None, costs: Costs, block: int = 256) -> DataFrame:
     """Adds exit_idx, exit_price, exit_reason to every candidate with a stop.
 
     The interval join is made on blocks of `block` bars, which every candidate
@@ -162,7 +174,7 @@ def exit_scan(candidates: DataFrame, signals: DataFrame, risk: Risk, costs: Cost
     worst = F.when(d > 0, quote["low"]).otherwise(quote["high"])
     best = F.when(d > 0, quote["high"]).otherwise(quote["low"])
     sl_hit, tp_hit = d * worst <= d * F.col("sl"), d * best >= d * F.col("tp")
-    timed = F.col("bar_idx") - F.col("entry_idx") >= risk.max_bars
+    timed = F.col("bar_idx") - F.col("entry_idx") >= risk_of(candidates, risk)("max_bars")
     reason = F.when(sl_hit, "sl").when(tp_hit, "tp").when(timed, "max_bars").when(F.col("bar_idx") == F.col("last_idx"), "end_of_data")
     # a gap through the level fills at the open
     at_sl = d * F.least(d * quote["open"], d * F.col("sl"))
@@ -177,7 +189,7 @@ def exit_scan(candidates: DataFrame, signals: DataFrame, risk: Risk, costs: Cost
 _STATE = "struct<cash:double,busy:bigint,out:array<struct<signal_idx:bigint,entry_idx:bigint,exit_idx:bigint,direction:int,entry_price:double,exit_price:double,sl:double,tp:double,lots:double,qty:double,cash_before:double,entry_cost:double,funding_bar:double,costs:double,pnl:double,exit_reason:string,skip_reason:string>>>"
 
 
-def fold_trades(candidates: DataFrame, scanned: DataFrame, risk: Risk, costs: Costs, initial_equity: float) -> DataFrame:
+def fold_trades(candidates: DataFrame, scanned: DataFrame, risk: Risk | None, costs: Costs, initial_equity: float) -> DataFrame:
     """Takes candidates of each run in order: what was taken (skip_reason null) and what was read but skipped.
 
     One aggregate over the candidates of a run, inside the JVM; a run's
@@ -187,13 +199,14 @@ def fold_trades(candidates: DataFrame, scanned: DataFrame, risk: Risk, costs: Co
         raise PolicyError("initial equity must be positive", value=initial_equity)
     extra = [c for c in ("exit_idx", "exit_price", "exit_reason")]
     rows = candidates.join(scanned.select("symbol", "signal_idx", *extra), ["symbol", "signal_idx"], "left")
-    item = F.struct("signal_idx", "entry_idx", "direction", "fill", "stop", "sl", "tp", *extra)
+    item = F.struct("signal_idx", "entry_idx", "direction", "fill", "stop", "sl", "tp", *extra, *(["risk"] if "risk" in candidates.columns else []))
+    own = (lambda x, name: x["risk"][name]) if "risk" in candidates.columns else (lambda x, name: F.lit(getattr(risk, name)))
     grouped = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(item)).alias("items"))
     bar_days = costs.timeframe_minutes / 1440.0
 
     def step(state: Column, x: Column) -> Column:
         cash = state["cash"]
-        lots, reason = sizing(cash, x["stop"], x["fill"], risk, costs)
+        lots, reason = sizing(cash, x["stop"], x["fill"], own(x, "risk_per_trade"), costs)
         reason = F.when(x["stop"].isNull(), "atr_invalid").otherwise(reason)
         qty = lots * costs.lot_size
         entry_cost = qty * x["fill"] * costs.commission_pct
@@ -208,7 +221,7 @@ def fold_trades(candidates: DataFrame, scanned: DataFrame, risk: Risk, costs: Co
             x["exit_price"].alias("exit_price"), x["sl"].alias("sl"), x["tp"].alias("tp"), lots.alias("lots"), qty.alias("qty"), cash.alias("cash_before"), entry_cost.alias("entry_cost"),
             funding.alias("funding_bar"), paid.alias("costs"), (gross - paid).alias("pnl"), x["exit_reason"].alias("exit_reason"), reason.alias("skip_reason"),
         )
-        taken = F.struct((cash + gross - paid).alias("cash"), (x["exit_idx"] + risk.cooldown_bars).cast("long").alias("busy"), F.concat(state["out"], F.array(row)).alias("out")).cast(_STATE)
+        taken = F.struct((cash + gross - paid).alias("cash"), (x["exit_idx"] + own(x, "cooldown_bars")).cast("long").alias("busy"), F.concat(state["out"], F.array(row)).alias("out")).cast(_STATE)
         skipped = F.struct(cash.alias("cash"), state["busy"].alias("busy"), F.concat(state["out"], F.array(row)).alias("out")).cast(_STATE)
         return F.when(x["signal_idx"] < state["busy"], state).when(reason.isNotNull(), skipped).otherwise(taken)
 
@@ -217,7 +230,7 @@ def fold_trades(candidates: DataFrame, scanned: DataFrame, risk: Risk, costs: Co
     return done.select("symbol", F.explode("out").alias("t")).select("symbol", "t.*")
 
 
-def simulate(signals: DataFrame, risk: Risk, costs: Costs, initial_equity: float = 100_000.0) -> DataFrame:
+def simulate(signals: DataFrame, risk: Risk | None, costs: Costs, initial_equity: float = 100_000.0) -> DataFrame:
     """All trades and skipped entries of every run."""
     candidates = entry_candidates(signals, risk, costs)
     return fold_trades(candidates, exit_scan(candidates, signals, risk, costs), risk, costs, initial_equity)

@@ -33,36 +33,26 @@ def evaluate_genomes(bars: DataFrame, genomes: list[Genome], ranges: list[tuple[
         named = {}
         for d, g in distinct.items():
             named |= {f"l_{d}": g.entry_long, f"s_{d}": g.entry_short, f"a_{d}": g.allow, f"r_{d}": n("atr", period=g.risk.atr_period)}
-        rows = evaluate(window, named)
-        for d, g in distinct.items():
-            run = rows.where(F.col("symbol") == g.symbol).select(
-                F.lit(f"{d}|{k}").alias("symbol"), "bar_idx", "open", "high", "low", "close", "volume", F.col(f"l_{d}").alias("entry_long"), F.col(f"s_{d}").alias("entry_short"), F.col(f"a_{d}").alias("allow"), F.col(f"r_{d}").alias("atr")
+        rules = [
+            F.struct(
+                F.lit(g.symbol).alias("of"), F.lit(d).alias("candidate"), F.lit(g.complexity).alias("complexity"), F.col(f"l_{d}").alias("entry_long"), F.col(f"s_{d}").alias("entry_short"), F.col(f"a_{d}").alias("allow"),
+                F.col(f"r_{d}").alias("atr"), F.struct(*(F.lit(v).alias(c) for c, v in vars(g.risk).items())).alias("risk"),
             )
-            parts.append(_one(run, g, k, start, stop, costs, equity))
-    each = reduce(lambda a, b: a.unionByName(b), parts)
-    return each.groupBy("candidate").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("fold", "ret"))), lambda x: x["ret"]).alias("fold_returns"),
-        F.sum("n").alias("n_trades_total"),
-        F.max("dd").alias("max_drawdown"),
-        F.when(F.sum("lost") > 0, F.sum("won") / F.nullif(F.sum("lost"), F.lit(0.0))).when(F.sum("won") > 0, 10.0).alias("profit_factor"),
-        F.first("complexity").alias("complexity"),
-        (F.sum("n") / F.sum("n_bars")).alias("trade_frequency"),
-        F.coalesce(F.sum("held") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avg_holding_bars"),
-        F.coalesce(F.sum("longs") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("long_share"),
-        F.coalesce(F.sum("wins") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("win_rate"),
-    )
-
-
-def _one(run: DataFrame, g: Genome, fold: int, start: int, stop: int, costs: S.Costs, equity: float) -> DataFrame:
-    trades = S.trades_of(S.simulate(run, g.risk, costs, equity))
-    eq = S.equity_curve(run, trades, costs, equity).where((F.col("bar_idx") >= start) & (F.col("bar_idx") < stop))
+            for d, g in distinct.items()
+        ]
+        rows = evaluate(window, named).withColumn("rule", F.explode(F.array(*rules))).where(F.col("symbol") == F.col("rule.of"))
+        parts.append(rows.select(F.concat_ws("|", "rule.candidate", F.lit(str(k))).alias("symbol"), "bar_idx", "open", "high", "low", "close", "rule.*", F.lit(k).alias("fold"), F.lit(start).alias("start")))
+    runs = reduce(lambda a, b: a.unionByName(b), parts).drop("of").persist()
+    trades = S.trades_of(S.simulate(runs, None, costs, equity))
+    facts = runs.groupBy("symbol").agg(*(F.first(c).alias(c) for c in ("candidate", "fold", "start", "complexity")))
+    eq = S.equity_curve(runs, trades, costs, equity).join(facts.select("symbol", "start"), "symbol").where(F.col("bar_idx") >= F.col("start"))
     peak = F.max("equity").over(W.partitionBy("symbol").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0))
     e = eq.withColumn("_p", peak).groupBy("symbol").agg(
         (F.max_by("equity", "bar_idx") / F.min_by("equity", "bar_idx") - 1).alias("ret"), F.max((F.col("_p") - F.col("equity")) / F.col("_p")).alias("dd"), F.count(F.lit(1)).alias("n_bars")
     )
     # trades that began in the warm-up move the equity but are not counted
     pnl = F.col("pnl")
-    t = trades.where(F.col("entry_idx") >= start).groupBy("symbol").agg(
+    t = trades.join(facts.select("symbol", "start"), "symbol").where(F.col("entry_idx") >= F.col("start")).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("won"),
         F.sum(F.when(pnl > 0, 0.0).otherwise(-pnl)).alias("lost"),
@@ -70,5 +60,15 @@ def _one(run: DataFrame, g: Genome, fold: int, start: int, stop: int, costs: S.C
         F.count_if(F.col("direction") > 0).alias("longs"),
         F.sum(F.col("exit_idx") - F.col("entry_idx") + 1).alias("held"),
     )
-    out = e.join(t, "symbol", "left").na.fill(0).na.fill(0.0)
-    return out.select(F.lit(g.digest).alias("candidate"), F.lit(fold).alias("fold"), "ret", "dd", "n_bars", "n", "won", "lost", "wins", "longs", "held", F.lit(g.complexity).alias("complexity"))
+    each = facts.join(e, "symbol").join(t, "symbol", "left").na.fill(0).na.fill(0.0)
+    return each.groupBy("candidate").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("fold", "ret"))), lambda x: x["ret"]).alias("fold_returns"),
+        F.sum("n").alias("n_trades_total"),
+        F.max("dd").alias("max_drawdown"),
+        F.when(F.sum("lost") > 0, F.sum("won") / F.nullif(F.sum("lost"), F.lit(0.0))).when(F.sum("won") > 0, 10.0).alias("profit_factor"),
+        F.first("complexity").alias("complexity"),
+        (F.sum("n") / F.sum("n_bars")).alias("trade_frequency"),
+        F.coalesce(F.sum("held") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("avg_holding_bars"),
+        F.coalesce(F.sum("longs") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("long_share"),
+        F.coalesce(F.sum("wins") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("win_rate"),
+    )
