@@ -29,6 +29,8 @@ ROWS_PER_LANGUAGE = 4000
 BUCKETS = 1 << 15
 SWITCH = 10.0
 UNKNOWN = "und"
+#: Languages up to this number have their sampling rates broadcast; more are joined.
+MOST_BROADCAST = 10_000
 
 #: First code points of ranges of scripts, and the script of each range; 0 is none.
 SCRIPT_STARTS = np.array([0x00, 0x41, 0x5B, 0x61, 0x7B, 0xC0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xA00, 0xB80, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00])
@@ -89,7 +91,7 @@ class Model:
 
     def word_scores(self, words: X.Words) -> np.ndarray:
         index, first = _trigrams(words)
-        if not len(first):
+        if not len(first) or not self.languages:
             return np.zeros((0, len(self.languages)), dtype=np.float32)
         out = np.add.reduceat(self.table[index], first, axis=0)
         out -= out.max(axis=1, keepdims=True)
@@ -138,7 +140,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH, cell
     return out
 
 
-def label_batch(model: Model, column, limit: int = 8 << 20):
+def label_batch(model: Model, column, limit: int = 3 << 20):
     """For groups of rows of a string column: (first row, end row, chunk words, labels per word, bytes by row and language, has a letter)."""
     n = max(1, len(model.languages))
     pending: list[tuple[int, int, X.Words, np.ndarray]] = []
@@ -181,6 +183,8 @@ def fit(spark: SparkSession, docs: DataFrame, rows_per_language: int = ROWS_PER_
     """Learn from rows with `lang` and `text`; the sample holds about `rows_per_language` of each language."""
     marked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n")).alias("rate"))
+    # one row for each language: sent along only once their number is known to be small
+    rates = F.broadcast(rates) if rates.count() <= MOST_BROADCAST else rates
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = marked.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
 
