@@ -23,29 +23,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows with texts or sets go to Python in batches of so many.
+WIDE_ROWS = 1000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Lets the session send small Arrow batches, for plans that run after the operator has returned.
+
+    With Spark's 10,000 rows a batch of documents takes tens of MB several
+    times over, in the JVM and in Python.
+    """
+    if int(spark.conf.get(BATCH)) > WIDE_ROWS:
+        spark.conf.set(BATCH, str(WIDE_ROWS))
+
+
 class Scratch:
     """Tables of one operator call in the shared folder, removed at its end.
 
     ``table`` writes a DataFrame as Parquet and reads it back, which cuts its
     lineage; ``finish`` checkpoints the (narrow) result, after which nothing
-    depends on the tables any more.
+    depends on the tables any more.  While it is open, rows go to Python in
+    small batches, since most of them carry texts or sets; a table of narrow
+    rows may ask for larger ones.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, batch: int = WIDE_ROWS) -> None:
+        self.spark, self.batch = spark, batch
         self.path = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(self.batch))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(BATCH, self.before)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        self.spark.conf.set(BATCH, str(batch or self.batch))
         df.write.parquet(path)
+        self.spark.conf.set(BATCH, str(self.batch))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
+
+if TaskContext.get() is not None:  # a worker gives memory back when a batch is done
+    pa.set_memory_pool(pa.system_memory_pool())
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -112,7 +116,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of a chunk: byte ranges, hashes, and where each document's begin."""
 
-    __slots__ = ("data", "ends", "first", "hashes", "offsets", "sums", "starts")
+    __slots__ = ("_hashes", "_sums", "_values", "data", "ends", "first", "offsets", "starts")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, values: np.ndarray = VALUES) -> None:
         self.data, self.offsets = data, offsets
@@ -128,17 +132,27 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _POWERS.get(len(data) + 1)
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
-            self.hashes = mix((self.sums[self.ends] - self.sums[self.starts]) * down[self.starts])
-
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of any byte ranges (case folded), such as whole documents."""
-        _, down = _POWERS.get(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        self._values, self._sums, self._hashes = values, None, None
+
+    @property
+    def sums(self) -> np.ndarray:
+        """The running polynomial sums, made when first asked for."""
+        if self._sums is None:
+            up, _ = _POWERS.get(len(self.data) + 1)
+            with np.errstate(over="ignore"):
+                self._sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
+                np.cumsum(self._values[self.data] * up[: len(self.data)], out=self._sums[1:])
+        return self._sums
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """The hash of each word; the sums, eight bytes for each byte of text, are let go."""
+        if self._hashes is None:
+            _, down = _POWERS.get(len(self.data) + 1)
+            with np.errstate(over="ignore"):
+                self._hashes = mix((self.sums[self.ends] - self.sums[self.starts]) * down[self.starts])
+            self._sums = None
+        return self._hashes
 
     @property
     def counts(self) -> np.ndarray:

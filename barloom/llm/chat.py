@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import _text as X
-from barloom.llm._spark import partitions
+from barloom.llm._spark import partitions, wide_rows
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -94,6 +94,7 @@ def format_turns(spark: SparkSession, conversations: DataFrame, vocabulary_path:
     conv_id, turn_no (from 0), first_token (its position in the conversation),
     ids (int32), loss_mask (int8), formatted (the text with its template).
     """
+    wide_rows(spark)
     held = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     def encode(batches):

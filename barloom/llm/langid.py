@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import _text as X
+from barloom.llm._spark import wide_rows
 
 ROWS_PER_LANGUAGE = 4000
 BUCKETS = 1 << 15
@@ -181,6 +182,7 @@ def fold(modulus: int):
 
 def fit(spark: SparkSession, docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from rows with `lang` and `text`; the sample holds about `rows_per_language` of each language."""
+    wide_rows(spark)
     marked = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rates = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("n")).alias("rate"))
     # one row for each language: sent along only once their number is known to be small

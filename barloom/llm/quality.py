@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm import _text as X
+from barloom.llm._spark import wide_rows
 
 ROWS_PER_LABEL = 1600
 BYTES_PER_LABEL = 12 << 20
@@ -149,6 +150,7 @@ def fit(
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of `docs` (doc_id, held_out, text)."""
+    wide_rows(spark)
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
