@@ -40,6 +40,8 @@ HEAD = 200_000
 SMOOTH = 0.1
 BATCH = 8192
 RATE = 0.3
+#: Training tasks, and so partial models, for each core of the cluster at most.
+PARTS_PER_CORE = 16
 #: Rows of weights that travel together.
 SHARD = 512
 
@@ -175,7 +177,9 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([tokens[k] for k in keys], pa.int64()), X.binary_array([sums[k] for k in keys])], ["salt", "shard", "n", "part"])
 
     schema = "salt int, shard int, n long, part binary"
-    parts = docs.select("text").mapInArrow(run, schema)
+    # the number of partial models follows the cluster, not the corpus
+    tasks = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, schema)
     # tasks' results are added in two steps, each holding one sum for each shard
     parts = parts.repartition(partitions(spark), "shard", "salt").mapInArrow(add, schema)
     rows = parts.repartition(partitions(spark), "shard").mapInArrow(add, schema).toArrow()  # the model's own, fixed size
