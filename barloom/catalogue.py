@@ -347,8 +347,8 @@ def skipped_entries(spark, d):
 
 
 def _equity(spark, d) -> tuple[DataFrame, DataFrame]:
-    s = signals(spark, d)
-    t = simulate.trades_of(simulate.simulate(s, RISK, COSTS))
+    s = signals(spark, d).persist()
+    t = simulate.trades_of(simulate.simulate(s, RISK, COSTS)).persist()  # both are read more than once
     return simulate.equity_curve(s, t, COSTS), t
 
 
