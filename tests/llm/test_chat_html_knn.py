@@ -68,6 +68,16 @@ def test_wrappers_generalise(spark):
     assert {r.host: r.n_pages for r in html.wrappers(spark, rows).collect()} == {"a.example": 2, "b.example": 1}
 
 
+@pytest.mark.parametrize("tag", ["article", 'div class="content"', 'section class="story"'])
+def test_main_text_in_several_parts(tag):
+    page = "<html><body><nav>Menu</nav><{0}><p>First part {2}</p></{1}><div class=ad>Buy</div><{0}><p>The second, longer part {2}</p></{1}><{0}><p>End</p></{1}></body></html>"
+    pages = [page.format(tag, tag.split()[0], k) for k in range(3)]
+    path = html.content_path(html.wrapper_of(pages))
+    for k, p in enumerate(pages):
+        want = f"First part {k} The second, longer part {k} End"
+        assert html.extract(p, path) == html.extract(p) == want
+
+
 def test_hostile_markup():
     for page in ("<" * 5000, "<p " + 'a="' * 3000, "<div>" * 3000 + "deep", "&" * 1000, "<script>never closed", "<![CDATA[x", "a < b > c", "<p class='x\">y</p>z"):
         assert isinstance(html.extract(page), str)
