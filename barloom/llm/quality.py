@@ -8,8 +8,9 @@ a probability.  The curve also sees how far the text shrank at all, since the
 difference says little of a text that hardly leaves anything (repetitions).
 
 The fit uses a bounded sample of labelled rows: of each label at most
-``rows_per_label`` documents in the order of a hash of their ids, and of these
-as many as fit in ``bytes_per_label``.  Every text is then scored whole, in
+``rows_per_label`` documents in the order of a hash of their ids.  If these
+pass ``bytes_per_label``, all stay, and of the longer ones a part of an equal
+share of the bytes, at a hashed place, is used.  Every text is then scored whole, in
 blocks of ``BLOCK_BYTES`` that are compressed one by one, so that a
 dictionary counts in every part of a long text.
 
@@ -131,10 +132,14 @@ def fit(
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the sample has at most 2 * rows_per_label rows, whatever the input
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id")
-    fits = F.sum(F.octet_length("text")).over(W.partitionBy("y").orderBy("order", "doc_id", "text"))
-    rows = rows.withColumn("bytes", fits).where(F.col("bytes") <= bytes_per_label).orderBy("y", "order", "text").select("y", "text").toArrow()
+    label_rows = W.partitionBy("y")
+    size, total = F.octet_length("text"), F.sum(F.octet_length("text")).over(label_rows)
+    share = F.greatest(F.floor(F.lit(bytes_per_label) / F.count(F.lit(1)).over(label_rows)), F.lit(1)).cast("int")
+    rows = rows.withColumn("most", F.when(total > bytes_per_label, F.least(size, share)).otherwise(size))
+    at = (F.pmod(F.xxhash64("doc_id", "text"), size - F.col("most") + 1) + 1).cast("int")
+    rows = rows.withColumn("part", F.substring(F.col("text").cast("binary"), at, F.col("most"))).orderBy("y", "order", "text").select("y", F.col("part").alias("text")).toArrow()
     y = np.array(rows["y"].to_pylist(), dtype=np.int64)
-    texts = [t.encode() for t in rows["text"].to_pylist()]
+    texts = rows["text"].to_pylist()
     share = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
     kinds = [[t for t, v in zip(texts, y.tolist()) if v == k] for k in (0, 1)]
     if min(map(len, kinds)) < 2:

@@ -160,3 +160,15 @@ def test_mixing_of_odd_documents(spark):
     assert first == second
     assert {5, 6, 7} <= {r.doc_id for r in a.collect()}
     assert mixing.sample(spark, documents(spark, [])).count() == 0
+
+
+def test_long_labelled_text_keeps_the_sample(spark):
+    from barloom.llm import quality
+
+    rows = [(k, ("good clear words in order " if k % 2 else "buy cheap pills now click ") * (2000 if k < 40 else 5) + str(k)) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    model = quality.fit(spark, docs, labels, bytes_per_label=20_000)
+    assert model.curve is not None
+    got = {r.doc_id: r.score for r in quality.score(spark, docs.selectExpr("doc_id", "false as held_out", "text"), model).collect()}
+    assert min(got[k] for k in got if k % 2) > max(got[k] for k in got if not k % 2)
