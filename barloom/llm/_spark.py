@@ -112,6 +112,27 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
     return scratch.table(out, "components")
 
 
+#: Keys that are broadcast because many rows have them, at most.
+MOST_HOT = 100_000
+
+
+def on_hot(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` joined with `values` (one row for each `key`, met by `count` rows), without dealing rows by a key that many share.
+
+    Keys of more than ``least`` rows are broadcast: since the counts add up
+    to `total`, there are at most ``total / least``, that is ``MOST_HOT``.  The
+    others are met by few rows each and are joined as usual.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    least = max(1000, -(-total // MOST_HOT))
+    hot = values.where(F.col(count) > least).drop(count)
+    own = [c for c in hot.columns if c != key]
+    found = rows.join(F.broadcast(hot.select(key, F.struct(*own).alias("_hot"))), key, "left")
+    shared = found.where("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in own))
+    alone = found.where("_hot is null").drop("_hot").join(values.where(F.col(count) <= least).drop(count), key)
+    return shared.unionByName(alone)
+
+
 class BitFilter:
     """A fixed-size bit set, built by aggregation; false positives only.
 

@@ -188,6 +188,17 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gapped_hashes(values: np.ndarray, starts: np.ndarray, holes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """`segment_hashes` of each segment without its word at `holes`."""
+    up, down = _POWERS.get(len(values) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
+        before = sums[holes] - sums[starts]
+        after = (sums[ends] - sums[holes + 1]) * _U(_BASE_INVERSE)
+        return mix((before + after) * down[starts] + (ends - starts - 1).astype(np.uint64))
+
+
 def whole(hashes: np.ndarray) -> np.ndarray:
     """The one hash of a sequence of words that is shorter than a window."""
     return windows(hashes, len(hashes)) if len(hashes) else np.empty(0, dtype=np.uint64)
