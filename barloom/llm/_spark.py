@@ -116,7 +116,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
 MOST_HOT = 100_000
 
 
-def on_hot(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
+def on_hot(rows: DataFrame, values: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """`rows` joined with `values` (one row for each `key`, met by `count` rows), without dealing rows by a key that many share.
 
     Keys of more than ``least`` rows are broadcast: since the counts add up
@@ -129,7 +129,7 @@ def on_hot(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFram
     own = [c for c in hot.columns if c != key]
     found = rows.join(F.broadcast(hot.select(key, F.struct(*own).alias("_hot"))), key, "left")
     shared = found.where("_hot is not null").select(*rows.columns, *(F.col(f"_hot.{c}").alias(c) for c in own))
-    alone = found.where("_hot is null").drop("_hot").join(values.where(F.col(count) <= least).drop(count), key)
+    alone = found.where("_hot is null").drop("_hot").join(values.where(F.col(count) <= least).drop(count), key, how)
     return shared.unionByName(alone)
 
 
