@@ -49,12 +49,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 def test_main_text(spark, tag):
     close = tag.split()[0]
     pages = [(k, f"http://h.example/{k}", PAGE.format(tag=tag, k=k).replace(f"</{tag}>", f"</{close}>"), "x") for k in range(5)]
-    pages += [(10, None, None, "x"), (11, "http://h.example/11", "", None), (12, "http://other.example/1", "plain <b>text</b> &lt;here", None), (13, "http://h.example/13", pages[0][2], None), (14, "http://cut.example/", pages[0][2].split("</form>")[0] + "</form><ul><li>one<li>two", None)]
+    pages += [(9, None, pages[0][2], None), (10, None, None, "x"), (11, "http://h.example/11", "", None), (12, "http://other.example/1", "plain <b>text</b> &lt;here", None), (13, "http://h.example/13", pages[0][2], None), (14, "http://cut.example/", pages[0][2].split("</form>")[0] + "</form><ul><li>one<li>two", None)]
     got = {r.page_id: r for r in html.main_texts(spark, spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()}
     want = "Head {0} First & boldly {0}. line Second link éé one two"
     for k in range(5):
         assert got[k].text == want.format(k) and got[k].n_chars == len(got[k].text)
-    assert got[13].text == want.format(0)
+    assert got[13].text == got[9].text == want.format(0)
     assert got[10].text == got[11].text == "" and got[12].text == "plain text <here" and got[14].text == want.format(0)
     assert html.main_texts(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -72,10 +72,69 @@ def test_wrappers_generalise(spark):
 def test_main_text_in_several_parts(tag):
     page = "<html><body><nav>Menu</nav><{0}><p>First part {2}</p></{1}><div class=ad>Buy</div><{0}><p>The second, longer part {2}</p></{1}><{0}><p>End</p></{1}></body></html>"
     pages = [page.format(tag, tag.split()[0], k) for k in range(3)]
-    path = html.content_path(html.wrapper_of(pages))
+    plan = html.decide(html.wrapper_of(pages), 3)
     for k, p in enumerate(pages):
         want = f"First part {k} The second, longer part {k} End"
-        assert html.extract(p, path) == html.extract(p) == want
+        assert html.extract(p, plan) == html.extract(p) == want
+
+
+UNNAMED = """<html><body><div class="c1"><span>The Daily Site</span><ul><li><a href=/a>News</a><li><a href=/b>Sport</a></ul></div>
+<div class="c2"><h1>Title {k}</h1><p>Text of page {k} with many words about {k} things.<p>More of it, {k} again.</div>
+<div class="c3"><p>See also</p><ul>{links}</ul></div><div class="c4">Copyright, all rights reserved</div></body></html>"""
+
+
+def test_wrapper_decides_where_names_say_nothing():
+    pages = [UNNAMED.format(k=k, links="".join(f"<li><a href=/{j}>Another page of number {j}</a>" for j in range(k, k + 4))) for k in range(5)]
+    plan = html.decide(html.wrapper_of(pages), 5)
+    for k, p in enumerate(pages):
+        assert html.extract(p, plan) == f"Title {k} Text of page {k} with many words about {k} things. More of it, {k} again."
+        assert "Copyright" in html.extract(p)  # one page alone does not tell what is template
+
+
+def test_names_are_not_believed_against_the_text():
+    page = "<html><body><div class='menu'>Start</div><div class='page has-sidebar'><article><p>Real text {0} of some length {0}</p></article></div><div class='sidebar'>Side {0}</div></body></html>"
+    pages = [page.format(k) for k in range(4)]
+    plan = html.decide(html.wrapper_of(pages), 4)
+    assert [html.extract(p, plan) for p in pages] == [f"Real text {k} of some length {k}" for k in range(4)]
+    assert html.extract(pages[0]) == "Real text 0 of some length 0"
+    page = "<html><body><div class=x1>Site</div><div class='elementor-widget-theme-post-content'><p>Long text {0} that is the content {0}</p></div><div class=x3>Contact us</div></body></html>"
+    pages = [page.format(k) for k in range(4)]
+    plan = html.decide(html.wrapper_of(pages), 4)
+    assert [html.extract(p, plan) for p in pages] == [f"Long text {k} that is the content {k}" for k in range(4)]
+
+
+def test_numbers_in_names():
+    page = "<html><body><div class=x1>Header text</div><div class=x2>Body {0} text</div><div class=x3>Footer text</div><div id=post-{0}{0}{0}>And {0} more</div></body></html>"
+    pages = [page.format(k) for k in range(4)]
+    plan = html.decide(html.wrapper_of(pages), 4)
+    assert [html.extract(p, plan) for p in pages] == [f"Body {k} text And {k} more" for k in range(4)]
+
+
+def test_very_many_siblings():
+    page = "<html><body><article>" + "".join(f"<h2>Head {{0}}.{k}</h2><p>Text {{0}}.{k}</p>" for k in range(3000)) + "</article></body></html>"
+    pages = [page.format(k) for k in range(3)]
+    plan = html.decide(html.wrapper_of(pages), 3)
+    assert html.extract(pages[1], plan).split()[-4:] == ["Head", "1.2999", "Text", "1.2999"] and html.extract(pages[1], plan).count("Head") == 3000
+    odd = "<html><body>" + "".join(f"<div class=a{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>t{k}</div>" for k in range(2000)) + "</body></html>"
+    assert html.extract(odd, html.decide(html.wrapper_of([odd, odd.replace("t7", "u7"), odd.replace("t9", "u")]), 3))
+
+
+def test_alignment_against_brute_force():
+    from itertools import combinations
+
+    rng = random.Random(2)
+    for _ in range(200):
+        x, y = ([html.Node(rng.choice("abc")) for _ in range(rng.randrange(6))] for _ in range(2))
+        got = html._align(x, y)
+        assert [a for a, _ in got if a] == x and [b for _, b in got if b] == y and all(a.label == b.label for a, b in got if a and b)
+        most = max(k for k in range(min(len(x), len(y)) + 1) for p in combinations(x, k) for q in combinations(y, k) if all(a.label == b.label for a, b in zip(p, q)))
+        assert sum(1 for a, b in got if a and b) == most
+
+
+def test_plans_survive_encoding():
+    plan = html.Plan((("html", frozenset()), ("div", frozenset({"a", "b"}))), {(("p", frozenset({"x"})),)}, {(("p", frozenset()),)})
+    again = html.Plan.decode(plan.encode())
+    assert (again.content, again.goes, again.stays) == (plan.content, plan.goes, plan.stays)
 
 
 def test_hostile_markup():
