@@ -214,43 +214,45 @@ def price_quantization(spark, d):
 
 # ---- splits --------------------------------------------------------------------------
 
-PLAN = splits.walk_forward(500, splits.SplitConfig(3, 60, 2, 30, 8, 4, 80, 120))
-CPCV = splits.combinatorial(500, 6, 2, 5, 3)
-_PLAN_VALUES = S.values(PLAN.rows(), "plan, inner_fold, role, start, stop")
-_CPCV_ROWS = [(k, role, a, b) for k, (train, tests) in enumerate(CPCV) for role, ranges in (("train", train), ("test", tests)) for a, b in ranges]
 
+def _plan(spark, d) -> splits.Plan:
+    """Walk-forward ranges over all bars of the longest series."""
+    n = bars(spark, d).agg(F.max("bar_idx")).first()[0] + 1
+    return splits.walk_forward(n, splits.SplitConfig(3, n // 10, 2, n // 20, 8, 4, n // 8, n // 5))
 
-@query(f"SELECT CAST(plan AS INTEGER) AS plan, CAST(inner_fold AS INTEGER) AS \"inner\", role, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM {_PLAN_VALUES}")
+
+@query(S.with_(S.PLAN) + 'SELECT CAST(plan AS INTEGER) AS plan, CAST(inner_fold AS INTEGER) AS "inner", role, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM pl')
 def walk_forward_ranges(spark, d):
-    return splits.plan_frame(spark, PLAN)
+    return splits.plan_frame(spark, _plan(spark, d))
 
 
 @query(
-    S.with_(f" pl AS (SELECT * FROM {_PLAN_VALUES})")
+    S.with_(S.PLAN)
     + f'SELECT symbol, CAST(plan AS INTEGER) AS plan, CAST(inner_fold AS INTEGER) AS "inner", role, count(*) AS n_bars, {r("avg(close)")} AS mean_close FROM bars JOIN pl ON bar_idx >= start AND bar_idx < stop GROUP BY ALL'
 )
 def fold_bar_counts(spark, d):
-    rows = splits.bars_in_ranges(bars(spark, d), splits.plan_frame(spark, PLAN))
+    rows = splits.bars_in_ranges(bars(spark, d), splits.plan_frame(spark, _plan(spark, d)))
     return rounded(rows.groupBy("symbol", "plan", "inner", "role").agg(F.count(F.lit(1)).alias("n_bars"), F.avg("close").alias("mean_close")), "mean_close")
 
 
 @query(
-    S.with_(f" pl AS (SELECT * FROM {S.values([(k, a, b) for k, (_, tests) in enumerate(CPCV) for a, b in tests], 'split, a, b')})")
+    S.with_(S.CPCV)
     + """SELECT CAST(split AS INTEGER) AS plan, symbol, count(*) FILTER (inside) AS test_bars, count(*) FILTER (NOT near) AS train_bars FROM (
-      SELECT split, symbol, bar_idx, bool_or(bar_idx >= a AND bar_idx < b) AS inside, bool_or(bar_idx >= a - 5 AND bar_idx < b + 3) AS near FROM bars, pl WHERE bar_idx < 500 GROUP BY ALL) GROUP BY ALL"""
+      SELECT split, symbol, bar_idx, bool_or(bar_idx >= a AND bar_idx < b) AS inside, bool_or(bar_idx >= a - 5 AND bar_idx < b + 3) AS near FROM bars, pl GROUP BY ALL) GROUP BY ALL"""
 )
 def cpcv_train_counts(spark, d):
-    rows = splits.bars_in_ranges(bars(spark, d), splits.combinatorial_frame(spark, CPCV))
+    n = bars(spark, d).agg(F.max("bar_idx")).first()[0] + 1
+    rows = splits.bars_in_ranges(bars(spark, d), splits.combinatorial_frame(spark, splits.combinatorial(n, 6, 2, 5, 3)))
     return rows.groupBy("plan", "symbol").agg(F.count_if(F.col("role") == "test").alias("test_bars"), F.count_if(F.col("role") == "train").alias("train_bars"))
 
 
 @query(
-    f"""WITH pl AS (SELECT * FROM {_PLAN_VALUES}), tr AS (SELECT * FROM pl WHERE role IN ('train', 'inner_train')), te AS (SELECT * FROM pl WHERE role IN ('test', 'validation'))
-    SELECT te.plan, CAST(te.inner_fold AS INTEGER) AS "inner", CAST(te.start - max(tr.stop) AS BIGINT) AS distance FROM tr JOIN te ON tr.plan = te.plan AND tr.inner_fold = te.inner_fold
+    S.with_(S.PLAN + ", tr AS (SELECT * FROM pl WHERE role IN ('train', 'inner_train')), te AS (SELECT * FROM pl WHERE role IN ('test', 'validation'))")
+    + """SELECT CAST(te.plan AS INTEGER) AS plan, CAST(te.inner_fold AS INTEGER) AS "inner", CAST(te.start - max(tr.stop) AS BIGINT) AS distance FROM tr JOIN te ON tr.plan = te.plan AND tr.inner_fold = te.inner_fold
     WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.plan = te.plan AND x.inner_fold = te.inner_fold AND x.start < te.stop AND x.stop + 8 > te.start) GROUP BY te.plan, te.inner_fold, te.start"""
 )
 def split_leakage_check(spark, d):
-    plan = splits.plan_frame(spark, PLAN)
+    plan = splits.plan_frame(spark, _plan(spark, d))
     train = plan.where(F.col("role").isin("train", "inner_train")).groupBy("plan", "inner").agg(F.max("stop").alias("until"))
     test = plan.where(F.col("role").isin("test", "validation")).select("plan", "inner", "start")
     clean = test.join(splits.leaks(plan, 8).select("plan", "inner").distinct(), ["plan", "inner"], "left_anti")
@@ -571,13 +573,13 @@ def lineage_root(spark, d):
 
 
 def battery(spark, d) -> DataFrame:
-    """Returns of the mean value of each event type over the first hundred six-hour steps."""
+    """Returns of the mean value of each event type over all six-hour steps."""
     e = table(spark, d, "events").where("ts is not null and value is not null")
     b = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 21600)
     six = e.groupBy(F.col("event_type").alias("cand"), b.alias("b")).agg(F.avg("value").alias("m"))
     before = F.lag("m").over(W.partitionBy("cand").orderBy("b"))
     ret = six.withColumn("ret", F.round(F.col("m") / F.nullif(before, F.lit(0.0)) - 1, DIGITS)).where("ret is not null")
-    steps = ret.select("b").distinct().withColumn("t", (F.row_number().over(W.orderBy("b")) - 1).cast("long")).where("t < 100")
+    steps = ret.select("b").distinct().withColumn("t", (F.row_number().over(W.orderBy("b")) - 1).cast("long"))
     return ret.join(F.broadcast(steps), "b").select("t", "cand", "ret")
 
 
@@ -622,25 +624,32 @@ def pbo_cscv(spark, d):
     return rounded(stats.overfitting_probability(stats.cscv(battery(spark, d), 6)), "pbo", "median_logit")
 
 
-def _starts(spark):
-    return stats.block_starts(spark, 100, 10, 20, 7)
+def _resampling(spark, d) -> tuple[DataFrame, DataFrame, int]:
+    """The battery, the block starts of twenty bootstrap series by a multiplicative rule (which SQL can follow), and the number of steps."""
+    returns = battery(spark, d)
+    n = returns.agg(F.max("t")).first()[0] + 1
+    starts = spark.range(20).select(F.col("id").cast("int").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit((n + 9) // 10 - 1))).alias("block_no"))
+    start = (F.col("sample").cast("long") * 1000003 + F.col("block_no") + 1) * F.lit(2654435761) % F.lit(4294967296) % n
+    return returns, starts.withColumn("start", start), n
 
 
 @query(_BAT + S.RESAMPLED + f" SELECT CAST(sample AS INTEGER) AS sample, cand, {r('avg(ret)')} AS mean FROM boot GROUP BY ALL")
 def block_bootstrap_means(spark, d):
-    boot = stats.resampled(battery(spark, d), _starts(spark), 100, 10)
+    returns, starts, n = _resampling(spark, d)
+    boot = stats.resampled(returns, starts, n, 10)
     return rounded(boot.groupBy("sample", "cand").agg(F.avg("ret").alias("mean")), "mean")
 
 
 @query(
     _BAT
     + S.RESAMPLED
-    + f""", m AS (SELECT cand, avg(ret) AS mu FROM battery GROUP BY cand), o AS (SELECT max(mu) * 10 AS ob FROM m),
-    s AS (SELECT sample, max(x - mu) * 10 AS st FROM (SELECT sample, cand, avg(ret) AS x FROM boot GROUP BY ALL) JOIN m USING (cand) GROUP BY sample)
+    + f""", m AS (SELECT cand, avg(ret) AS mu FROM battery GROUP BY cand), o AS (SELECT max(mu) * sqrt((SELECT n FROM len)) AS ob FROM m),
+    s AS (SELECT sample, max(x - mu) * sqrt((SELECT n FROM len)) AS st FROM (SELECT sample, cand, avg(ret) AS x FROM boot GROUP BY ALL) JOIN m USING (cand) GROUP BY sample)
     SELECT {r('any_value(ob)')} AS observed, {r('(count(*) FILTER (st >= ob) + 1) / (count(*) + 1)')} AS p_value FROM s, o"""
 )
 def reality_check(spark, d):
-    return rounded(stats.reality_check(battery(spark, d), _starts(spark), 100, 10), "observed", "p_value")
+    returns, starts, n = _resampling(spark, d)
+    return rounded(stats.reality_check(returns, starts, n, 10), "observed", "p_value")
 
 
 @query(
@@ -649,7 +658,8 @@ def reality_check(spark, d):
     + f", q AS (SELECT sample, avg(ret) / stddev_samp(ret) AS s FROM boot GROUP BY sample) SELECT {r('quantile_cont(s, 0.05)')} AS p05, {r('quantile_cont(s, 0.5)')} AS p50, {r('quantile_cont(s, 0.95)')} AS p95 FROM q"
 )
 def sharpe_confidence(spark, d):
-    return rounded(stats.sharpe_confidence(stats.resampled(battery(spark, d), _starts(spark), 100, 10)), "p05", "p50", "p95")
+    returns, starts, n = _resampling(spark, d)
+    return rounded(stats.sharpe_confidence(stats.resampled(returns, starts, n, 10)), "p05", "p50", "p95")
 
 
 @query(
@@ -682,14 +692,14 @@ def signal_parity_diff(spark, d):
 @query(
     S.with_(S.fold(), recursive=True)
     + f""", o AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY entry_idx) AS nth, fill, exit_price FROM trades),
-    t AS (SELECT symbol, nth, fill, CASE WHEN nth % 5 = 0 THEN exit_price + 1 ELSE exit_price END AS exit_price FROM o WHERE nth <= 40)
+    t AS (SELECT symbol, nth, fill, CASE WHEN nth % 5 = 0 THEN exit_price + 1 ELSE exit_price END AS exit_price FROM o)
     SELECT symbol, CAST(nth AS INTEGER) AS nth, 'exit_price' AS field, {r('o.exit_price')} AS ours, {r('t.exit_price')} AS theirs FROM o JOIN t USING (symbol, nth) WHERE abs(o.exit_price - t.exit_price) > 1e-6
     UNION ALL SELECT symbol, 0, 'count', CAST(a AS DOUBLE), CAST(b AS DOUBLE) FROM (SELECT symbol, count(*) AS a FROM o GROUP BY symbol) JOIN (SELECT symbol, count(*) AS b FROM t GROUP BY symbol) USING (symbol) WHERE a <> b"""
 )
 def trade_parity_diff(spark, d):
     ours = simulate.trades_of(_trades(spark, d)).select("symbol", "entry_idx", "entry_price", "exit_price")
     nth = F.row_number().over(W.partitionBy("symbol").orderBy("entry_idx"))
-    theirs = ours.withColumn("_n", nth).where("_n <= 40").withColumn("exit_price", F.when(F.col("_n") % 5 == 0, F.col("exit_price") + 1).otherwise(F.col("exit_price"))).drop("_n")
+    theirs = ours.withColumn("_n", nth).withColumn("exit_price", F.when(F.col("_n") % 5 == 0, F.col("exit_price") + 1).otherwise(F.col("exit_price"))).drop("_n")
     return rounded(parity.trade_differences(ours, theirs, "symbol", "entry_idx", ["entry_price", "exit_price"]), "ours", "theirs")
 
 

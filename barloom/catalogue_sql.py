@@ -170,22 +170,45 @@ six AS (
 ), ret AS (
   SELECT cand, b, round(m / nullif(lag(m) OVER (PARTITION BY cand ORDER BY b), 0) - 1, 6) AS ret FROM six
 ), battery AS (
-  SELECT dense_rank() OVER (ORDER BY b) - 1 AS t, cand, ret FROM ret WHERE ret IS NOT NULL QUALIFY dense_rank() OVER (ORDER BY b) <= 100
+  SELECT dense_rank() OVER (ORDER BY b) - 1 AS t, cand, ret FROM ret WHERE ret IS NOT NULL
 )"""
 
 
-def starts_values(n: int, block: int, samples: int, seed: int) -> str:
-    rng = np.random.default_rng(seed)
-    per = -(-n // block)
-    drawn = rng.integers(0, n, size=(samples, per))
-    return "(VALUES " + ", ".join(f"({s}, {b}, {int(drawn[s, b])})" for s in range(samples) for b in range(per)) + ") AS v(sample, block_no, start)"
-
-
-RESAMPLED = f""", starts AS (SELECT * FROM {starts_values(100, 10, 20, 7)}
+#: Twenty circular bootstrap series of blocks of ten steps, as long as the battery; starts as in `catalogue._starts`.
+RESAMPLED = """, len AS (SELECT max(t) + 1 AS n FROM battery
+), starts AS (
+  SELECT sample, block_no, ((sample * 1000003 + block_no + 1) * 2654435761 % 4294967296) % n AS start
+  FROM (SELECT s.range AS sample, n, unnest(range((n + 9) // 10)) AS block_no FROM range(20) AS s, len)
 ), boot AS (
-  SELECT sample, cand, ret FROM (SELECT sample, block_no * 10 + o AS pos, (start + o) % 100 AS t FROM starts, range(10) AS r(o)) JOIN battery USING (t) WHERE pos < 100
+  SELECT sample, cand, ret FROM (SELECT sample, block_no * 10 + o AS pos, (start + o) % n AS t, n FROM starts, range(10) AS r(o), len) JOIN battery USING (t) WHERE pos < n
 )"""
 
+#: The walk-forward plan for all bars of the longest series: tests tile the end before the lockbox, training grows up to the purge,
+#: without the embargo after earlier tests; validation tiles the end of each training.
+PLAN = """ len AS (SELECT max(bar_idx) + 1 AS n FROM bars
+), tests AS (
+  SELECT k, n, n // 20 AS v, n - n // 8 - 8 - 3 * (n // 10) + k * (n // 10) AS a, n // 10 AS w, n - n // 8 AS locked FROM len, range(3) AS r(k)
+), pieces AS (
+  SELECT t.k, t.v, t.a - 8 AS until, CASE WHEN i = 0 THEN 0 ELSE t.a - (t.k - i) * t.w + 4 END AS start, CASE WHEN i = greatest(t.k, 1) - 1 THEN t.a - 8 ELSE t.a - (t.k - i - 1) * t.w END AS stop
+  FROM (SELECT *, unnest(range(greatest(k, 1))) AS i FROM tests) AS t
+), vals AS (
+  SELECT k, j, a - 8 - (2 - j) * v AS start, a - 8 - (1 - j) * v AS stop FROM tests, range(2) AS r(j)
+), pl AS (
+  SELECT -1 AS plan, -1 AS inner_fold, 'lockbox' AS role, locked AS start, n AS stop FROM tests WHERE k = 0
+  UNION ALL SELECT k, -1, 'train', start, stop FROM pieces
+  UNION ALL SELECT k, -1, 'test', a, a + w FROM tests
+  UNION ALL SELECT p.k, j, 'inner_train', p.start, least(p.stop, x.start - 8) FROM pieces p JOIN vals x USING (k) WHERE p.start < x.start - 8
+  UNION ALL SELECT k, j, 'validation', start, stop FROM vals
+)"""
+
+#: Test groups of every choice of two of six equal groups of all bars.
+CPCV = """ len AS (SELECT max(bar_idx) + 1 AS n FROM bars
+), groups AS (
+  SELECT g, CAST(round_even(g * n / 6.0, 0) AS BIGINT) AS a, CAST(round_even((g + 1) * n / 6.0, 0) AS BIGINT) AS b FROM len, range(6) AS r(g)
+), pairs AS (
+  SELECT x.g AS g1, y.g AS g2, row_number() OVER (ORDER BY x.g, y.g) - 1 AS split FROM groups x JOIN groups y ON x.g < y.g
+), pl AS (SELECT split, a, b FROM pairs JOIN groups ON g IN (g1, g2))"""
+
 
 def combos(groups: int) -> str:
     rows = [f"({k}, {g}, {str(g in chosen).lower()})" for k, chosen in enumerate(combinations(range(1, groups + 1), groups // 2)) for g in range(1, groups + 1)]
