@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is set, as in tests."""
+    """The shared folder of this session; a temporary one only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -38,6 +41,11 @@ def wide_rows(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(WIDE_ROWS))
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder, removed at its end.
 
@@ -59,9 +67,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(BATCH, self.before)
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(self.spark, self.path)
 
     def table(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"

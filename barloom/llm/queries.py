@@ -37,7 +37,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sample(spark, _table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
+    return mixing.sample(spark, _table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "residual")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

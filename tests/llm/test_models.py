@@ -172,3 +172,20 @@ def test_long_labelled_text_keeps_the_sample(spark):
     assert model.curve is not None
     got = {r.doc_id: r.score for r in quality.score(spark, docs.selectExpr("doc_id", "false as held_out", "text"), model).collect()}
     assert min(got[k] for k in got if k % 2) > max(got[k] for k in got if not k % 2)
+
+
+def test_topics_are_learned(spark):
+    """Documents of two vocabularies fall apart; the model is the same whatever the partitioning; expected tokens are recomputed."""
+    rng = random.Random(8)
+    kinds = ["alphabet binding circuit document elephant".split(), "mountain northern orchestra painting question".split()]
+    rows = [(k, " ".join(rng.choice(kinds[k % 2]) for _ in range(40)), "en", f"s{k % 3}") for k in range(120)] + [(200, None, "en", "s0"), (201, "a b c", None, None)]
+    docs = documents(spark, rows)
+    topics = mixing.learn_topics(docs, k=2)
+    assert np.array_equal(topics.models["en"][1], mixing.learn_topics(docs.repartition(5), k=2).models["en"][1])
+    got = {r.doc_id: (r._topic, r._tokens) for r in mixing.featured(docs, topics).select("row.doc_id", "_topic", "_tokens").collect()}
+    assert len({got[k][0] for k in range(0, 120, 2)}) == len({got[k][0] for k in range(1, 120, 2)}) == 1 and got[0][0] != got[1][0]
+    assert got[200] == ("-1", 0) and got[201] == ("-1", 3)
+    all_rows = mixing.sample(spark, docs, keep=1.0, targets={"source": {"s0": 1.0}}).collect()
+    assert all_rows and all(r.residual > 0.5 for r in all_rows)  # s0 has a third of the tokens: the target cannot be met
+    fine = mixing.sample(spark, docs.where("doc_id < 200"), keep=0.5).collect()
+    assert fine and all(0 <= r.residual < 1e-3 for r in fine)
