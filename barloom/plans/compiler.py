@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,27 @@ def _depth(node: Node, seen: dict[Node, int]) -> int:
     return seen[node]
 
 
+def recursive_mean(x: np.ndarray, alpha: float, before: float | None, block: int = 256) -> tuple[np.ndarray, float | None]:
+    """e + alpha * (x - e) for one value after another, from `before` or the first value, and the last e.
+
+    Within a block it is a product with the powers of 1 - alpha; only the blocks follow one another.
+    """
+    n = len(x)
+    if not n:
+        return x, before
+    e = float(x[0]) if before is None else before
+    block = min(block, n)
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    weights = np.where(lag >= 0, alpha * (1 - alpha) ** np.maximum(lag, 0), 0.0)
+    fade = (1 - alpha) ** np.arange(1, block + 1)
+    rows = np.concatenate([x, np.zeros(-n % block)]).reshape(-1, block) @ weights.T
+    for row in rows:
+        row += fade * e
+        e = float(row[-1])
+    out = rows.ravel()[:n]
+    return out, float(out[-1])
+
+
 def add_ema(df: DataFrame, targets: list[tuple[str, str, int]]) -> DataFrame:
     """Recursive averages (input column, output column, period) in one pass over each sorted series.
 
@@ -95,23 +117,26 @@ def add_ema(df: DataFrame, targets: list[tuple[str, str, int]]) -> DataFrame:
     alphas = [2.0 / (p + 1) for _, _, p in targets]
 
     def run(batches):
-        now, state = object(), [None] * len(alphas)
+        now, state = None, [None] * len(alphas)
         for batch in batches:
-            symbols = batch.column(symbol_at).to_pylist()
+            if not batch.num_rows:
+                continue
+            symbols = pc.fill_null(batch.column(symbol_at).cast(pa.string()), "\0")
+            changes = np.flatnonzero(pc.not_equal(symbols[1:], symbols[:-1]).to_numpy(zero_copy_only=False)) + 1
+            starts = [0, *changes.tolist(), batch.num_rows]
+            if symbols[0].as_py() != now:
+                state = [None] * len(alphas)
+            now = symbols[-1].as_py()
             columns = []
-            starts = [k for k, s in enumerate(symbols) if k == 0 and s != now or k and s != symbols[k - 1]]
             for t, alpha in enumerate(alphas):
-                out, e, begin = [], state[t], set(starts)
-                for k, x in enumerate(batch.column(inputs[t]).to_pylist()):
-                    if k in begin:
-                        e = None
-                    if x is not None:
-                        e = x if e is None else e + alpha * (x - e)
-                    out.append(e if x is not None else None)
-                state[t] = e
-                columns.append(pa.array(out, pa.float64()))
-            if symbols:
-                now = symbols[-1]
+                column = batch.column(inputs[t])
+                values = column.to_numpy(zero_copy_only=False).astype(np.float64)  # null as NaN
+                known = np.isfinite(values)
+                out = np.zeros(batch.num_rows)
+                for k, (i, j) in enumerate(zip(starts[:-1], starts[1:])):
+                    own = np.flatnonzero(known[i:j]) + i
+                    out[own], state[t] = recursive_mean(values[own], alpha, state[t] if k == 0 else None)
+                columns.append(pa.array(out, mask=~known))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*base, *(o for _, o, _ in targets)])
 
     from barloom.session import ship

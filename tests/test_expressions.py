@@ -4,7 +4,7 @@ import pytest
 from barloom.errors import CompileError, ParseError, UnitError
 from barloom.functions.expr import CLOSE, HIGH, LOW, OPEN, VOLUME, Node, Unit, const, n
 from barloom.functions.ops import OPS, register
-from barloom.plans.compiler import canonical, complexity, ema_array, evaluate, lookback, unit_of
+from barloom.plans.compiler import canonical, complexity, ema_array, evaluate, lookback, recursive_mean, unit_of
 from barloom.streaming.incremental import Evaluator, evaluate_sorted
 from tests.helpers import random_bars
 
@@ -133,3 +133,16 @@ def test_stream_of_bars(spark, tmp_path):
 def test_evaluator_shares_states():
     e = Evaluator({"a": n("sma", CLOSE, period=3), "b": n("gt", CLOSE, n("sma", CLOSE, period=3))})
     assert sum(x.op == "sma" for x in e.order) == 1
+
+
+@pytest.mark.parametrize("period", [1, 2, 9, 500])
+def test_recursive_mean_in_blocks(period):
+    x = np.random.default_rng(period).normal(100, 5, 1000)
+    want = ema_array(x, period)
+    for cuts in ([1000], [1, 256, 300, 1000], [7, 7, 512, 1000]):
+        got, e, at = [], None, 0
+        for stop in cuts:
+            out, e = recursive_mean(x[at:stop], 2.0 / (period + 1), e)
+            got.append(out)
+            at = stop
+        assert np.allclose(np.concatenate(got), want, rtol=1e-12, atol=0)
