@@ -33,3 +33,28 @@ def test_registered():
     names = list(entry.queries())
     assert [n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()] == [f"op{k}" for k in range(1, 11)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_empty_tables(spark, tmp_path):
+    documents(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "probability", "residual"} <= set(out.columns)
+
+
+def test_failed_stage_leaves_no_tables(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from barloom.llm._spark import checkpoint_dir
+
+    documents(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+
+    def fails(spark, docs, sf_dir):
+        raise ValueError("stage")
+
+    monkeypatch.setattr(pipeline, "STAGES", [("same", lambda spark, docs, sf_dir: docs), ("fails", fails)])
+    with pytest.raises(ValueError, match="stage"):
+        pipeline.run(spark, str(tmp_path))
+    assert set(folder.glob("pipeline-*")) == before
