@@ -1,18 +1,24 @@
 """LM scoring by a hashed maximum-entropy model.
 
-The probability of a token is that of its class given the context, times that
-of the token within its class.  The class (of ``CLASSES``, from a word's last
-bytes; the end of a text has its own) comes from a softmax over hashed
-features: the word before, the word before that (a skip feature), and both
-together (an n-gram feature).  Within a class the softmax has one weight for
-each word, whose maximum-entropy solution is the smoothed count, so counts of
-all words of the whole corpus take part.
+Words are factored into nested classes: a word's last two bytes give the first
+digit of its class, two hashes of the whole word the others.  The probability
+of a token is the product of its digits' probabilities, each given the context
+and the digits before, and of the token's share in its class of ``LEAVES``.
+Every digit comes from a softmax over hashed features, taken together with the
+digits before: the word before, the word before that (a skip feature), and
+both (an n-gram feature).  So context decides between words, not between kinds
+of words alone.  The share in the class is the smoothed count, the
+maximum-entropy solution with one weight for each word; counts of all words of
+the whole corpus take part.
 
 Training is one pass of distributed gradient updates over all training texts:
 every task takes mini-batch steps from the common start and the results are
-averaged by their numbers of tokens.  The model has a fixed size.  Word counts
-grow with the corpus and stay distributed: the ``HEAD`` commonest are
-broadcast (a bound in rows), the rest are joined.
+averaged row by row, weighted by the squared gradients that a row has seen, so
+that tasks which never met a feature don't count for it.  The tables of weights grow with the
+number of different words, up to ``MOST_BUCKETS`` rows for each kind of
+feature, since every task holds them.  Word counts grow with the corpus and
+stay distributed: the ``HEAD`` commonest are broadcast (a bound in rows), the
+rest are joined.
 
 Defined cases: a null or empty text has its end as its only token; equal rows
 are scored alike, each once; a null id counts as the empty text in the fold;
@@ -23,6 +29,8 @@ ignored.  Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +41,24 @@ from pyspark.sql import functions as F
 from barloom.llm import _text as X
 from barloom.llm._spark import Scratch, partitions
 
-CLASSES = 32
-BUCKETS = 1 << 12
+#: Digits of a word's class, and what each is out of.
+LEVELS = 3
+CLASSES = 16
+LEAVES = CLASSES**LEVELS
 KINDS = 3
+#: Rows of weights for each digit and kind of feature: one for so many different words, within these bounds.
+WORDS_PER_BUCKET = 8
+FEWEST_BUCKETS, MOST_BUCKETS = 1 << 10, 1 << 15
 HEAD = 200_000
 SMOOTH = 0.1
-BATCH = 8192
-RATE = 0.3
+BATCH = 1 << 15
+RATE = 0.5
+#: Logits stay within this, in training and in scoring.
+LIMIT = np.float32(40)
 #: Training tasks, and so partial models, for each core of the cluster at most.
-PARTS_PER_CORE = 16
+PARTS_PER_CORE = 4
 #: Rows of weights that travel together.
-SHARD = 512
+SHARD = 1024
 
 _U = np.uint64
 END = _U(0x1F83D9ABFB41BD6B)
@@ -63,14 +78,20 @@ class Tokens:
         self.doc = np.repeat(np.arange(n_docs), self.per_doc)
         self.hash = np.full(size, END, dtype=np.uint64)
         self.hash[at] = words.hashes
-        self.kind = np.zeros(size, dtype=np.int64)
         d = words.data
-        tail = np.stack([X.VALUES[d[words.ends - 1]], X.VALUES[d[np.maximum(words.ends - 2, words.starts)]]]) if n_words else np.zeros((2, 0), dtype=np.uint64)
+        tail = np.zeros(size, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            self.kind[at] = 1 + (X.mix(tail[0] * _U(3) + tail[1]) % _U(CLASSES - 1)).astype(np.int64)
-
-    def features(self) -> np.ndarray:
-        """Rows of the weight table for each token: word before, skip, both; the start of a text counts as its own word."""
+            tail[at] = X.VALUES[d[words.ends - 1]] * _U(3) + X.VALUES[d[np.maximum(words.ends - 2, words.starts)]] if n_words else 0
+            keys = [tail] + [self.hash * _U(0x9E3779B97F4A7C15) + _U(level) for level in range(1, LEVELS)]
+            self.digits = [(X.mix(k) % _U(CLASSES)).astype(np.int64) for k in keys]
+        # the digits before each, as one number; the last is the class
+        self.before = [np.zeros(size, dtype=np.int64)]
+        for digit in self.digits:
+            self.before.append(self.before[-1] * CLASSES + digit)
+        self.leaf = self.before.pop()
+
+    def features(self) -> list[np.ndarray]:
+        """Hashes of each token's features: word before, skip, both; the start of a text counts as its own word."""
         size = len(self.hash)
         one, two = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
         one[1:], two[2:] = self.hash[:-1], self.hash[:-2]
@@ -80,34 +101,61 @@ class Tokens:
         two[second] = 1
         with np.errstate(over="ignore"):
             both = X.mix(one * _U(0x9E3779B97F4A7C15) + two)
-        out = np.stack([one, X.mix(two ^ _U(0xA0761D6478BD642F)), both], axis=1)
-        return (out % _U(BUCKETS)).astype(np.int64) + np.arange(KINDS) * BUCKETS
+        return [X.mix(one), X.mix(two ^ _U(0xA0761D6478BD642F)), both]
+
+    def rows(self, features: list[np.ndarray], level: int, buckets: int) -> list[np.ndarray]:
+        """Rows of the tables of weights of one digit; 16 bits, which numpy sorts by radix."""
+        shift = _U(64 - int(buckets).bit_length() + 1)
+        with np.errstate(over="ignore"):
+            own = X.mix(self.before[level].astype(np.uint64) + _U(LEAVES * level))
+            return [((f ^ own) * _U(0xD6E8FEB86659FD93) >> shift).astype(np.uint16) for f in features]
 
 
-def log_softmax(bias: np.ndarray, weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[:, 0]]
-    for k in range(1, KINDS):
-        z += weights[features[:, k]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+def logits(bias: np.ndarray, weights: np.ndarray, before: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Of one digit of each token; bias: a row for each value of the digits before, weights: a table for each kind."""
+    z = np.take(bias, before, axis=0)
+    for w, r in zip(weights, rows):
+        z += np.take(w, r, axis=0)
+    return np.clip(z, -LIMIT, LIMIT, out=z)
 
 
-def steps(bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, features: np.ndarray, kind: np.ndarray) -> None:
-    """Mini-batch gradient steps (adaptive rates) on `weights`, in place."""
-    for a in range(0, len(kind), BATCH):
-        f, y = features[a : a + BATCH], kind[a : a + BATCH]
-        g = np.exp(log_softmax(bias, weights, f))
+def steps(bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, before: np.ndarray, rows: list[np.ndarray], digit: np.ndarray) -> None:
+    """Mini-batch gradient steps (adaptive rates) on the `weights` of one digit, in place."""
+    for a in range(0, len(digit), BATCH):
+        part = slice(a, a + BATCH)
+        own, y = [r[part] for r in rows], digit[part]
+        g = np.exp(logits(bias, weights, before[part], own))
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(y)), y] -= 1
-        for k in range(KINDS):
-            order = np.argsort(f[:, k], kind="stable")
-            rows = f[order, k]
-            start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            total = np.add.reduceat(g[order], start, axis=0)
-            at = rows[start]
-            squares[at] += total * total
-            weights[at] -= RATE * total / np.sqrt(squares[at] + 1.0)
+        for w, s, r in zip(weights, squares, own):
+            order = np.argsort(r, kind="stable")
+            r = r[order]
+            start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            total = np.add.reduceat(np.take(g, order, axis=0), start, axis=0)
+            at = r[start]
+            seen = np.take(s, at, axis=0) + total * total
+            s[at] = seen
+            w[at] -= RATE * total / np.sqrt(seen + 1)
+
+
+def learn(bias: list[np.ndarray], weights: np.ndarray, squares: np.ndarray, tokens: Tokens) -> None:
+    """Gradient steps on all digits of some texts' tokens, in place."""
+    features = tokens.features()
+    for level in range(LEVELS):
+        steps(bias[level], weights[level], squares[level], tokens.before[level], tokens.rows(features, level, weights.shape[2]), tokens.digits[level])
+
+
+def log_digits(model: Model, tokens: Tokens) -> np.ndarray:
+    """The natural logarithm of the probability of each token's class given its context."""
+    out = np.zeros(len(tokens.hash))
+    features = tokens.features()
+    for level in range(LEVELS):
+        rows, before, digit = tokens.rows(features, level, model.buckets), tokens.before[level], tokens.digits[level]
+        for a in range(0, len(out), BATCH):
+            part = slice(a, a + BATCH)
+            z = logits(model.bias[level], model.weights[level], before[part], [r[part] for r in rows])
+            out[part] += z[np.arange(len(z)), digit[part]] - np.log(np.exp(z).sum(axis=1))
+    return out
 
 
 def _count(batches):
@@ -117,7 +165,7 @@ def _count(batches):
             t = Tokens(w)
             h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
             words.append(h)
-            kinds.append(np.stack([t.kind[first], n], axis=1))
+            kinds.append(np.stack([t.leaf[first], n], axis=1))
         if not words:
             continue
         h, r = np.concatenate(words), np.concatenate(kinds)
@@ -133,65 +181,75 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The softmax, of a fixed size, and the totals of each class."""
-
-    def __init__(self, n: int, v: int, class_n: np.ndarray, class_v: np.ndarray, weights: np.ndarray) -> None:
-        self.n, self.v, self.weights = n, v, weights
-        self.bias = np.log((class_n + 1.0) / (n + len(class_n))).astype(np.float32)
+    """The softmaxes, of a bounded size, and the totals of each class."""
+
+    def __init__(self, n: int, v: int, class_n: np.ndarray, class_v: np.ndarray) -> None:
+        self.n, self.v = n, v
+        self.buckets = FEWEST_BUCKETS
+        while self.buckets < MOST_BUCKETS and self.buckets * WORDS_PER_BUCKET < v:
+            self.buckets *= 2
+        self.weights = self.zeros()
+        self.bias = []
+        for level in range(LEVELS):
+            digits = class_n.reshape(CLASSES**level, CLASSES, -1).sum(axis=2)
+            self.bias.append(np.log((digits + 1) / (digits.sum(axis=1, keepdims=True) + CLASSES)).astype(np.float32))
         self.log_total = np.log10(class_n + SMOOTH * (class_v + 1))
 
+    def zeros(self) -> np.ndarray:
+        return np.zeros((LEVELS, KINDS, self.buckets, CLASSES), dtype=np.float32)
+
 
 def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
     """One pass of gradient updates over all texts of `docs`; counts: their words."""
-    totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # CLASSES rows at most
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # LEAVES rows at most
+    class_n, class_v = np.zeros(LEAVES), np.zeros(LEAVES)
     for r in totals:
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
-    model = Model(int(class_n.sum()), int(class_v.sum()), class_n, class_v, np.zeros((KINDS * BUCKETS, CLASSES), dtype=np.float32))
-    bias = model.bias
+    model = Model(int(class_n.sum()), int(class_v.sum()), class_n, class_v)
+    bias, shape = model.bias, model.weights.shape
 
     def run(batches):
-        weights = np.zeros((KINDS * BUCKETS, CLASSES), dtype=np.float32)
-        squares = np.zeros_like(weights)
-        n = 0
+        weights, squares = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32)
         for batch in batches:
             for _, _, w in X.text_words(batch.column(0), X.NON_SPACE):
-                t = Tokens(w)
-                steps(bias, weights, squares, t.features(), t.kind)
-                n += len(t.kind)
-        if n:
-            task = TaskContext.get()
-            yield _shards(weights.astype(np.float64) * n, n, (task.partitionId() if task else 0) % 8)
+                learn(bias, weights, squares, Tokens(w))
+        if not squares.any():
+            return
+        task = TaskContext.get()
+        rows = np.concatenate([weights, squares.sum(axis=-1, keepdims=True)], axis=-1)
+        yield from _partial((task.partitionId() if task else 0) % 8, enumerate(rows.reshape(-1, SHARD, CLASSES + 1)))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
-        tokens: dict[int, int] = {}
         for batch in batches:
-            values, o = X.unpack(batch.column(3), np.float64)
-            for k, (shard, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                part = values[o[k] : o[k + 1]]
-                sums[shard] = sums[shard] + part if shard in sums else part.copy()
-                tokens[shard] = tokens.get(shard, 0) + n
-        if sums:
-            keys = sorted(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int32()), pa.array([tokens[k] for k in keys], pa.int64()), X.binary_array([sums[k] for k in keys])], ["salt", "shard", "n", "part"])
-
-    schema = "salt int, shard int, n long, part binary"
+            values, o = X.unpack(batch.column(2), np.float32)
+            for k, shard in enumerate(batch.column(1).to_pylist()):
+                part = values[o[k] : o[k + 1]].reshape(SHARD, CLASSES + 1).astype(np.float64)
+                part[:, :-1] *= part[:, -1:]
+                sums[shard] = sums[shard] + part if shard in sums else part
+        for part in sums.values():
+            part[:, :-1] /= np.where(part[:, -1:] > 0, part[:, -1:], 1)
+        yield from _partial(0, ((k, sums[k].astype(np.float32)) for k in sorted(sums)))
+
+    schema = "salt int, shard int, part binary"
     # the number of partial models follows the cluster, not the corpus
     tasks = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     parts = docs.select("text").coalesce(tasks).mapInArrow(run, schema)
-    # tasks' results are added in two steps, each holding one sum for each shard
+    # tasks' results are added in two steps, each holding one mean for each shard
     parts = parts.repartition(partitions(spark), "shard", "salt").mapInArrow(add, schema)
-    rows = parts.repartition(partitions(spark), "shard").mapInArrow(add, schema).toArrow()  # the model's own, fixed size
-    for shard, n, part in zip(rows["shard"].to_pylist(), rows["n"].to_pylist(), rows["part"].to_pylist()):
-        model.weights[shard * SHARD : (shard + 1) * SHARD] = (np.frombuffer(part, dtype=np.float64) / n).reshape(SHARD, CLASSES)
+    rows = parts.repartition(partitions(spark), "shard").mapInArrow(add, schema).toArrow()  # the model's own, bounded size
+    flat = model.weights.reshape(-1, SHARD, CLASSES)
+    for shard, part in zip(rows["shard"].to_pylist(), rows["part"].to_pylist()):
+        flat[shard] = np.frombuffer(part, dtype=np.float32).reshape(SHARD, CLASSES + 1)[:, :-1]
     return model
 
 
-def _shards(weights: np.ndarray, n: int, salt: int) -> pa.RecordBatch:
-    k = len(weights) // SHARD
-    parts = list(weights.reshape(k, SHARD * CLASSES))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, salt, dtype=np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, n)), X.binary_array(parts)], ["salt", "shard", "n", "part"])
+def _partial(salt: int, parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Numbered shards of a model: rows of weights, each with what is known of it, the sum of its squared gradients."""
+    parts = iter(parts)
+    while some := list(islice(parts, 64)):
+        columns = [pa.array([salt] * len(some), pa.int32()), pa.array([k for k, _ in some], pa.int32()), X.binary_array([p for _, p in some])]
+        yield pa.RecordBatch.from_arrays(columns, ["salt", "shard", "part"])
 
 
 def _score(held):
@@ -202,11 +260,7 @@ def _score(held):
         for batch in batches:
             for i, j, w in X.text_words(batch.column(2), X.NON_SPACE):
                 t = Tokens(w)
-                z = np.zeros(len(t.kind))
-                f = t.features()
-                for a in range(0, len(z), BATCH):
-                    part = log_softmax(model.bias, model.weights, f[a : a + BATCH])
-                    z[a : a + BATCH] = part[np.arange(len(part)), t.kind[a : a + BATCH]]
+                z = log_digits(model, t)
                 at = np.searchsorted(words, t.hash)
                 at[at == len(words)] = 0
                 head = words[at] == t.hash if len(words) else np.zeros(len(t.hash), dtype=bool)
@@ -224,7 +278,7 @@ def _score(held):
                         pa.array(t.per_doc.astype(np.int64)),
                         pa.array(add(head).astype(np.int64)),
                         pa.array(add(got)),
-                        pa.array(add(z / _LN10 - model.log_total[t.kind])),
+                        pa.array(add(z / _LN10 - model.log_total[t.leaf])),
                         X.binary_array([tail[a:b] for a, b in zip(cut[:-1], cut[1:])]),
                     ],
                     ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "model_log", "tail"],

@@ -6,8 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from barloom.llm import _text as X
 from barloom.llm import langid, lm, mixing, quality
 from tests.llm.common import LONG, ROWS, documents, words
 
@@ -54,9 +56,62 @@ def test_lm_sums_to_one_and_learns(spark):
     rows = [(k, " ".join(rng.choice(["aa bb", "cc dd"]) for _ in range(40)), "en", "a") for k in range(200)]
     got = [r for r in lm.language_model(spark, documents(spark, rows)).collect() if r.held_out]
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got) * 1.0 and sum(r.score for r in got) > sum(r.base_score for r in got)
-    weights, bias = np.random.default_rng(0).normal(0, 1, (lm.KINDS * lm.BUCKETS, lm.CLASSES)).astype(np.float32), np.zeros(lm.CLASSES, dtype=np.float32)
-    p = np.exp(lm.log_softmax(bias, weights, np.array([[0, 5000, 9000]])))
-    assert p.sum() == pytest.approx(1, abs=1e-5)
+
+
+def one_text(text):
+    (piece,) = X.text_words(pa.array([text]), X.NON_SPACE)
+    return lm.Tokens(piece[2])
+
+
+def test_lm_probabilities_by_brute_force():
+    """Every digit's softmax, written out feature by feature, and its sum over all classes."""
+    rng = np.random.default_rng(0)
+    n = rng.integers(1, 50, lm.LEAVES).astype(float)
+    model = lm.Model(int(n.sum()), 100, n, np.ones(lm.LEAVES))
+    model.weights = rng.normal(0, 1, model.weights.shape).astype(np.float32)
+    tokens = one_text("ein Haus am See ein Haus am Fluss")
+    got, features = lm.log_digits(model, tokens), tokens.features()
+    for i in range(len(tokens.hash)):
+        want, total = 0.0, 1.0
+        for level in range(lm.LEVELS):
+            before, digit = int(tokens.before[level][i]), int(tokens.digits[level][i])
+            z = [float(x) for x in model.bias[level][before]]
+            for kind, r in enumerate(tokens.rows(features, level, model.buckets)):
+                z = [x + float(w) for x, w in zip(z, model.weights[level, kind, r[i]])]
+            want += z[digit] - math.log(sum(map(math.exp, z)))
+            total *= sum(math.exp(x - math.log(sum(map(math.exp, z)))) for x in z)
+        assert got[i] == pytest.approx(want, abs=1e-4) and total == pytest.approx(1)
+        assert tokens.leaf[i] == sum(int(d[i]) * lm.CLASSES ** (lm.LEVELS - 1 - k) for k, d in enumerate(tokens.digits))
+
+
+def test_lm_step_is_the_gradient(monkeypatch):
+    """One step on a small text against finite differences of its log probability."""
+    monkeypatch.setattr(lm, "RATE", 1.0)
+    tokens = one_text("a b a b c a")
+    model = lm.Model(60, 3, np.ones(lm.LEAVES), np.ones(lm.LEAVES))
+    weights, squares = model.zeros(), model.zeros()
+    lm.learn(model.bias, weights, squares, tokens)
+    found = np.argwhere(squares > 1e-3)
+    assert len(found)
+    for at in map(tuple, found[:: max(1, len(found) // 20)]):
+        sides = []
+        for step in (1e-2, -1e-2):
+            model.weights = model.zeros()
+            model.weights[at] = step
+            sides.append(lm.log_digits(model, tokens).sum())
+        slope = (sides[0] - sides[1]) / 2e-2
+        assert squares[at] == pytest.approx(slope**2, rel=0.02, abs=1e-3)
+        assert weights[at] == pytest.approx(slope / math.sqrt(slope**2 + 1), rel=0.02, abs=1e-3)
+
+
+def test_lm_tells_words_apart_by_context(spark):
+    """Words that no ending tells apart, each certain from the word before it."""
+    rng = random.Random(2)
+    pairs = [(f"left{k}", f"right{k}end") for k in range(40)]
+    rows = [(k, " ".join(w for _ in range(30) for w in rng.choice(pairs)), "en", "a") for k in range(300)]
+    got = [r for r in lm.language_model(spark, documents(spark, rows)).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.4  # half of all tokens are certain: log10(40) / 2 = 0.8 at most
 
 
 def test_lm_without_rows(spark):
