@@ -2,10 +2,9 @@
 
 Two zstandard dictionaries are built, one from texts labelled good and one
 from texts labelled bad.  A text is compressed with each; the difference of
-the sizes, divided by their sum, says which kind it resembles, and a logistic
-curve fitted on labelled texts that neither dictionary has seen turns it into
-a probability.  The curve also sees how far the text shrank at all, since the
-difference says little of a text that hardly leaves anything (repetitions).
+the sizes, divided by the length of the text, says which kind it resembles,
+and a logistic curve of this one number, fitted on labelled texts that neither
+dictionary has seen, turns it into a probability.
 
 The fit uses a bounded sample of labelled rows: of each label at most
 ``rows_per_label`` documents in the order of a hash of their ids.  If these
@@ -38,7 +37,7 @@ from barloom.llm._spark import wide_rows
 ROWS_PER_LABEL = 1600
 BYTES_PER_LABEL = 12 << 20
 BLOCK_BYTES = 8192
-DICTIONARY_BYTES = 112_640
+DICTIONARY_BYTES = 1 << 20
 LEVEL = 3
 
 
@@ -65,37 +64,30 @@ def _compressors(dictionaries: tuple[bytes, bytes]) -> list[zstandard.ZstdCompre
     return out
 
 
-def measures(compressors, text: bytes) -> tuple[float, float]:
-    """(size with the bad dictionary - size with the good one) / their sum, and the log of their mean share of the length; 0 for an empty text."""
+def difference(compressors, text: bytes) -> float:
+    """(size with the bad dictionary - size with the good one) / length of the text; 0 for an empty text."""
     sizes = [0, 0]
     for at in range(0, len(text), BLOCK_BYTES):
         block = text[at : at + BLOCK_BYTES]
         for k, c in enumerate(compressors):
             sizes[k] += len(c.compress(block))
-    total = sizes[0] + sizes[1]
-    return ((sizes[0] - sizes[1]) / total, math.log(total / (2 * len(text)))) if total else (0.0, 0.0)
+    return (sizes[0] - sizes[1]) / max(1, len(text))
 
 
-def inputs(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """What the curve is linear in: both measures, and the square of the second."""
-    z = np.clip((x - centre) / scale, -20, 20)
-    return np.column_stack([z, z[:, 1] ** 2, np.ones(len(z))])
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, each: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, centre, scale) of a logistic curve, by Newton steps with a weak prior; each: the weights of the rows."""
-    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = inputs(x, centre, scale)
-    w = np.zeros(z.shape[1])
+def fit_curve(x: np.ndarray, y: np.ndarray, each: np.ndarray, steps: int = 60) -> tuple[float, float, float, float]:
+    """(slope, intercept, centre, scale) of a logistic curve, by Newton steps with a weak prior; each: the weights of the rows."""
+    centre, scale = float(x.mean()), max(float(x.std()), 1e-9)
+    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
+    w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         gradient = z.T @ (each * (p - y)) + 0.1 * w
-        hessian = (z * (each * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w))
+        hessian = (z * (each * p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return w, centre, scale
+    return float(w[0]), float(w[1]), centre, scale
 
 
 class Model:
@@ -107,9 +99,9 @@ class Model:
     def scores(self, compressors, texts: list[bytes]) -> np.ndarray:
         if self.curve is None:
             return np.full(len(texts), self.share)
-        weights, centre, scale = self.curve
-        x = np.array([measures(compressors, t) for t in texts]).reshape(-1, 2)
-        t = np.where(np.array([len(t) for t in texts]) > 0, inputs(x, centre, scale) @ weights, 0.0)
+        slope, intercept, centre, scale = self.curve
+        x = np.array([difference(compressors, t) for t in texts])
+        t = np.where(np.array([len(t) for t in texts]) > 0, slope * (x - centre) / scale + intercept, 0.0)
         return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
@@ -146,7 +138,7 @@ def fit(
         return Model(None, None, share)
     dictionaries = tuple(_dictionary(k[::2], DICTIONARY_BYTES) for k in kinds)
     compressors = _compressors(dictionaries)
-    x = np.array([measures(compressors, t) for k in kinds for t in k[1::2]])
+    x = np.array([difference(compressors, t) for k in kinds for t in k[1::2]])
     target = np.concatenate([np.full(len(k[1::2]), float(v)) for v, k in enumerate(kinds)])
     # the labels' own shares, not those of the sample, make the score a probability
     prior = np.array([shares[int(v)] / max(1, int((target == v).sum())) for v in target.tolist()])

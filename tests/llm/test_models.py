@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from barloom.llm import _text as X
 from barloom.llm import langid, lm, mixing, quality
@@ -188,6 +189,28 @@ def test_quality(spark):
     assert quality.quality_scores(spark, documents(spark, []), table).count() == 0
 
 
+def test_quality_by_brute_force():
+    """A score is the curve of the sizes of the text's blocks, compressed one by one with each dictionary."""
+    dictionaries = tuple(quality._dictionary([f"{word} {k} water house".encode() * 20 for k in range(30)], 4096) for word in ("bad", "good"))
+    model = quality.Model(dictionaries, (2.0, 0.5, 0.01, 0.2), 0.5)
+    texts = [b"", b"good water", "гут".encode() * 9000, b"bad 1 water house" * 2000]
+    for text, got in zip(texts, model.scores(quality._compressors(dictionaries), texts), strict=True):
+        sizes = []
+        for d in dictionaries:
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(text[a : a + quality.BLOCK_BYTES])) for a in range(0, len(text), quality.BLOCK_BYTES)))
+        x = (sizes[0] - sizes[1]) / max(1, len(text))
+        assert got == pytest.approx(1 / (1 + math.exp(-(2.0 * (x - 0.01) / 0.2 + 0.5))) if text else 0.5, rel=1e-9)
+
+
+def test_quality_curve():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(1.5 * x - 0.5)))).astype(float)
+    slope, intercept, centre, scale = quality.fit_curve(x, y, np.ones(len(x)))
+    assert slope / scale == pytest.approx(1.5, abs=0.1) and intercept - slope * centre / scale == pytest.approx(-0.5, abs=0.1)
+
+
 def test_mixing_meets_its_targets(spark, corpus):
     docs = documents(spark, corpus[:300])
     rows = mixing.featured(docs).cache()
