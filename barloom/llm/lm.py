@@ -11,14 +11,16 @@ of words alone.  The share in the class is the smoothed count, the
 maximum-entropy solution with one weight for each word; counts of all words of
 the whole corpus take part.
 
-Training is one pass of distributed gradient updates over all training texts:
-every task takes mini-batch steps from the common start and the results are
-averaged row by row, weighted by the squared gradients that a row has seen, so
-that tasks which never met a feature don't count for it.  The tables of weights grow with the
-number of different words, up to ``MOST_BUCKETS`` rows for each kind of
-feature, since every task holds them.  Word counts grow with the corpus and
-stay distributed: the ``HEAD`` commonest are broadcast (a bound in rows), the
-rest are joined.
+Training is one pass of distributed gradient updates over all training texts.
+The texts are dealt by hash to parts whose number follows the number of tokens
+alone and are taken in the order of their hashes, so that scores depend neither
+on the cluster nor on the files' layout.  Every part takes mini-batch steps from
+the common start and the results are averaged row by row, weighted by the
+squared gradients that a row has seen, so that parts which never met a feature
+don't count for it.  The tables of weights grow with the number of different
+words, up to ``MOST_BUCKETS`` rows for each kind of feature, since every task
+holds them.  Word counts grow with the corpus and stay distributed: the ``HEAD``
+commonest are broadcast (a bound in rows), the rest are joined.
 
 Defined cases: a null or empty text has its end as its only token; equal rows
 are scored alike, each once; a null id counts as the empty text in the fold;
@@ -55,8 +57,8 @@ BATCH = 1 << 15
 RATE = 0.5
 #: Logits stay within this, in training and in scoring.
 LIMIT = np.float32(40)
-#: Training tasks, and so partial models, for each core of the cluster at most.
-PARTS_PER_CORE = 4
+#: Training parts, and so partial models, grow with the root of the number of tokens: one for so many, two for four times as many.
+PART_TOKENS = 1 << 17
 #: Rows of weights that travel together.
 SHARD = 1024
 
@@ -232,9 +234,10 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
         yield from _partial(0, ((k, sums[k].astype(np.float32)) for k in sorted(sums)))
 
     schema = "salt int, shard int, part binary"
-    # the number of partial models follows the cluster, not the corpus
-    tasks = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, schema)
+    # neither the number of partial models nor what each is made from follows the cluster
+    n_parts = max(1, math.ceil(math.sqrt(model.n / PART_TOKENS)))
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("order")).repartition(n_parts, "order").sortWithinPartitions("order")
+    parts = dealt.select("text").mapInArrow(run, schema)
     # tasks' results are added in two steps, each holding one mean for each shard
     parts = parts.repartition(partitions(spark), "shard", "salt").mapInArrow(add, schema)
     rows = parts.repartition(partitions(spark), "shard").mapInArrow(add, schema).toArrow()  # the model's own, bounded size
@@ -291,7 +294,12 @@ def _score(held):
 def _tails(batches):
     for batch in batches:
         words, o = X.unpack(batch.column(1), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(o))), pa.array(words)], ["uid", "word"])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(o))
+        order = np.lexsort((words, row))
+        words, row = words[order], row[order]
+        start = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])) if len(words) else np.empty(0, dtype=np.int64)
+        columns = [batch.column(0).take(pa.array(row[start])), pa.array(words[start]), pa.array(np.diff(np.append(start, len(words))))]
+        yield pa.RecordBatch.from_arrays(columns, ["uid", "word", "times"])
 
 
 def scores(spark: SparkSession, docs: DataFrame, head: int = HEAD) -> DataFrame:
@@ -312,11 +320,11 @@ def scores(spark: SparkSession, docs: DataFrame, head: int = HEAD) -> DataFrame:
         held = spark.sparkContext.broadcast((model, words, logs))
         table = docs.mapInArrow(_score(held), "uid long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, model_log double, tail binary")
         table = scratch.table(table, "scores")
-        tails = table.where(F.length("tail") > 0).select("uid", "tail").mapInArrow(_tails, "uid long, word long")
+        tails = table.where(F.length("tail") > 0).select("uid", "tail").mapInArrow(_tails, "uid long, word long, times long")
         rest = (
             tails.join(counts.select("word", "n"), "word", "left")
             .groupBy("uid")
-            .agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("tail_log"))
+            .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("tail_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("tail_log"))
         )
         logs_of = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
         out = table.drop("tail").join(rest, "uid", "left").select(

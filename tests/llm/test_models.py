@@ -115,6 +115,23 @@ def test_lm_tells_words_apart_by_context(spark):
     assert gain > 0.4  # half of all tokens are certain: log10(40) / 2 = 0.8 at most
 
 
+def test_lm_does_not_follow_the_cluster(spark, corpus, monkeypatch):
+    """The same scores from other splits of the input and another number of shuffle partitions, with several partial models."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 512)
+    docs, found = documents(spark, corpus), []
+    for splits, shuffles in ((1, "3"), (7, "8")):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            got = lm.language_model(spark, docs.repartition(splits)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        found.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in got))
+    assert got[0].train_tokens > 16 * 512  # more than four parts
+    for a, b in zip(*found, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
+
+
 def test_lm_without_rows(spark):
     assert lm.language_model(spark, documents(spark, [])).count() == 0
     held = next(i for i in range(1000) if not crc(i, 10))
