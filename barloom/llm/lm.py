@@ -58,7 +58,7 @@ RATE = 0.5
 #: Logits stay within this, in training and in scoring.
 LIMIT = np.float32(40)
 #: Training parts, and so partial models, grow with the root of the number of tokens: one for so many, two for four times as many.
-PART_TOKENS = 1 << 17
+PART_TOKENS = 1 << 19
 #: Rows of weights that travel together.
 SHARD = 1024
 
@@ -209,6 +209,9 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
     model = Model(int(class_n.sum()), int(class_v.sum()), class_n, class_v)
     bias, shape = model.bias, model.weights.shape
+    # neither the number of partial models nor what each is made from follows the cluster
+    n_parts = max(1, math.ceil(math.sqrt(model.n / PART_TOKENS)))
+    salts = math.isqrt(n_parts)
 
     def run(batches):
         weights, squares = np.zeros(shape, dtype=np.float32), np.zeros(shape, dtype=np.float32)
@@ -219,7 +222,7 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
             return
         task = TaskContext.get()
         rows = np.concatenate([weights, squares.sum(axis=-1, keepdims=True)], axis=-1)
-        yield from _partial((task.partitionId() if task else 0) % 8, enumerate(rows.reshape(-1, SHARD, CLASSES + 1)))
+        yield from _partial((task.partitionId() if task else 0) % salts, enumerate(rows.reshape(-1, SHARD, CLASSES + 1)))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -234,8 +237,6 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
         yield from _partial(0, ((k, sums[k].astype(np.float32)) for k in sorted(sums)))
 
     schema = "salt int, shard int, part binary"
-    # neither the number of partial models nor what each is made from follows the cluster
-    n_parts = max(1, math.ceil(math.sqrt(model.n / PART_TOKENS)))
     dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("order")).repartition(n_parts, "order").sortWithinPartitions("order")
     parts = dealt.select("text").mapInArrow(run, schema)
     # tasks' results are added in two steps, each holding one mean for each shard
