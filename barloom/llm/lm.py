@@ -237,7 +237,8 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
         yield from _partial(0, ((k, sums[k].astype(np.float32)) for k in sorted(sums)))
 
     schema = "salt int, shard int, part binary"
-    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("order")).repartition(n_parts, "order").sortWithinPartitions("order")
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("order")).withColumn("part", F.pmod("order", F.lit(n_parts)).cast("int"))
+    dealt = dealt.repartitionById(n_parts, "part").sortWithinPartitions("order")  # one part to a task, whatever the shuffles' width
     parts = dealt.select("text").mapInArrow(run, schema)
     # tasks' results are added in two steps, each holding one mean for each shard
     parts = parts.repartition(partitions(spark), "shard", "salt").mapInArrow(add, schema)
