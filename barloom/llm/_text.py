@@ -227,3 +227,20 @@ def unpack(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     d, o = column_bytes(column)
     size = np.dtype(dtype).itemsize
     return np.frombuffer(d.tobytes(), dtype=dtype), o // size
+
+
+#: What A-Z become; every other byte stays.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def distinct(words: Words, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, the distinct words as strings) of a chunk; exact, since the strings themselves are compared."""
+    size = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    np.cumsum(words.ends - words.starts, out=size[1:])
+    at = np.repeat(words.starts - size[:-1], np.diff(size)) + np.arange(size[-1])
+    data = words.data[at]
+    if lower:
+        data = LOWER[data]
+    column = pa.Array.from_buffers(pa.large_string(), len(words.starts), [None, pa.py_buffer(size), pa.py_buffer(data)]).dictionary_encode()
+    return column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary

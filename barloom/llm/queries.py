@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontaminate, html, jaccard, knn, langid, lines, lm, mixing, quality
+from barloom.llm import chat, decontaminate, divergence, html, jaccard, knn, langid, lines, lloyd, lm, mixing, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +145,80 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id
 FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = s.doc_id
 """
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, _table(spark, sf_dir, "documents"))
+
+
+#: Every term of every pair of sources, zero counts included, one after another.
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+totals AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY 1, 2),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (t.n + 2 * s.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.c + 2)) // (s.n + 2 * s.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM shares WHERE c > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM valued)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids = lloyd.lloyd(spark, _table(spark, sf_dir, "embeddings"))
+    return placed.join(F.broadcast(lloyd.centroid_digests(spark, centroids)), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """The rounds one after another; every CTE once for each."""
+    steps = [
+        f"""vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, v FROM vectors ORDER BY h, v LIMIT {k})
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, x.v, min(struct_pack(distance := list_sum(list_transform(range(1, {dim + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT, cluster := cluster)) AS best
+  FROM (SELECT *, row_number() OVER () AS n FROM vectors) x, c{r} c GROUP BY n, vec_id, x.v
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT cluster, i, (s - ((s % n) + n) % n) // n AS x FROM (
+    SELECT best.cluster AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY 1, 2)
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM m{r} GROUP BY 1) m USING (cluster)
+)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, best.cluster AS cluster, best.distance AS distance, CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = best.cluster
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_chat_formatting": op2_chat_formatting,
@@ -156,10 +230,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_files": op12_token_files,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op1_exact_top_k": OP1_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
