@@ -236,11 +236,13 @@ LOWER[65:91] += 32
 
 def distinct(words: Words, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """(number of each word, the distinct words as strings) of a chunk; exact, since the strings themselves are compared."""
-    size = np.zeros(len(words.starts) + 1, dtype=np.int64)
-    np.cumsum(words.ends - words.starts, out=size[1:])
-    at = np.repeat(words.starts - size[:-1], np.diff(size)) + np.arange(size[-1])
-    data = words.data[at]
-    if lower:
-        data = LOWER[data]
-    column = pa.Array.from_buffers(pa.large_string(), len(words.starts), [None, pa.py_buffer(size), pa.py_buffer(data)]).dictionary_encode()
+    return distinct_slices(LOWER[words.data] if lower else words.data, words.starts, words.ends)
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    size = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=size[1:])
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.repeat((starts - size[:-1]).astype(kind), np.diff(size)) + np.arange(size[-1], dtype=kind)
+    column = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(data[at])]).dictionary_encode()
     return column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary

@@ -32,8 +32,10 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,15 @@ from barloom.llm._spark import Scratch, partitions
 VOCABULARY, END = "word_bpe_49k.json", 2
 MAX_BITS, BLOCK, EVERY = 20, 1 << 16, 512
 #: Words whose ids a task remembers, at most.
-MOST_KNOWN = 1 << 17
+MOST_KNOWN = 1 << 18
+#: Of bytes: 1 letters and all outside ASCII, 2 marks other than the apostrophe, 3 all else.
+_KIND = np.full(256, 3, dtype=np.int8)
+_KIND[0x21:0x7F] = 2
+_KIND[0x27] = 3
+_KIND[0x30:0x3A] = 3
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:] = 1
+#: Latin letters, then ASCII marks other than the apostrophe.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Bytes of ids for each part of the file, about.
 PART_BYTES = 1 << 27
 _MAGIC = np.frombuffer(b"BLHF", dtype="<u4")[0]
@@ -200,59 +210,126 @@ def vocabulary(path: str | None = None) -> bytes:
 
 
 class Tokenizer:
-    """Ids of texts by the tokenizers library; each distinct word of a batch is encoded once.
+    """Ids of texts by the tokenizers library; each distinct piece of a batch is encoded once.
 
     The tokenizer drops white space and no token reaches across it, so the ids
     of a text are those of its words (cut at ASCII white space) in order.
+    Marks after a word's last letter are a piece of their own.  A piece of
+    letters is encoded by the library's model, lower case and in the byte
+    alphabet; all other words take the whole way.
     """
 
     def __init__(self, raw: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Library.from_str(raw.decode())
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
+        self.width = id_type(self.size)
+        self.model = self.library.model
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(c): "".join(p for p, _ in alphabet.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.known: dict[str, list[int]] = {}
+        self.plain = self._is_plain()
+
+    def _is_plain(self) -> bool:
+        """Whether the short way gives what the whole way does, looked at for every letter, mark and contraction; another tokenizer may differ."""
+        letters = [chr(c) for c in range(0x41, 0x100) if _SIMPLE.fullmatch(chr(c)) and chr(c).isalpha()]
+        tried = [a + b + m for a in letters for b in ("", "a", "Thing", "é") for m in ("", ",", "<|", ").", "_")] + [f"x{chr(m)}" for m in range(0x21, 0x7F) if _SIMPLE.fullmatch(f"x{chr(m)}")]
+        return [self._simple(_SIMPLE.fullmatch(w)) for w in tried] == [e.ids for e in self.library.encode_batch_fast(tried, add_special_tokens=False)]
+
+    def _letters(self, letters: str) -> list[int]:
+        letters = letters.lower()
+        return [t.id for t in self.model.tokenize(letters if letters.isascii() else letters.translate(self.spelled))]
+
+    def _simple(self, match: re.Match) -> list[int]:
+        letters, marks = match.groups()
+        if marks and marks not in self.known:
+            self.known[marks] = self.library.encode(marks, add_special_tokens=False).ids
+        return self._letters(letters) + (self.known[marks] if marks else [])
+
+    def of_pieces(self, pieces: list[str]) -> list[list[int]]:
         if len(self.known) > MOST_KNOWN:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype=np.int64)
-        return [self.known[w] for w in words]
+        known, rest = self.known, []
+        for w in pieces:
+            if w in known:
+                continue
+            if self.plain and w.isascii() and w.isalpha():
+                known[w] = self._letters(w)
+            elif self.plain and (match := _SIMPLE.fullmatch(w)):
+                known[w] = self._simple(match)
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = e.ids
+        return [known[w] for w in pieces]
+
+    def pieces(self, words: X.Words) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(number of each piece, the distinct pieces, the first piece of each document and the end).
+
+        A word is cut where its letters end, if only marks follow and the last letter is in ASCII, and A-Z in a word of ASCII letters and such marks become a-z.
+        """
+        data, starts, ends = words.data, words.starts, words.ends
+        if not self.plain or not len(starts):
+            return *X.distinct(words), words.first
+        kind = _KIND[data]
+        sums = [_sums(x) for x in (kind == 1, kind == 3, np.append((kind[:-1] == 2) & (kind[1:] == 1), False), data > 127)]
+        letters, other, _, wide = (s[ends] - s[starts] for s in sums)
+        turns = sums[2][ends - 1] - sums[2][starts]
+        middle = starts + letters
+        simple = (letters > 0) & (other == 0) & (turns == 0) & (data[middle - 1] < 128)
+        cut = simple & (middle < ends)
+        before = np.concatenate([[0], np.cumsum(1 + cut)])
+        a, z = np.empty(before[-1], dtype=np.int64), np.empty(before[-1], dtype=np.int64)
+        a[before[:-1]], z[before[1:] - 1] = starts, ends
+        z[before[:-1][cut]] = a[before[1:][cut] - 1] = middle[cut]
+        fold = np.zeros(len(data) + 1, dtype=np.int8)
+        plain = simple & (wide == 0)
+        fold[starts[plain]] += 1
+        fold[ends[plain]] -= 1
+        low = np.where(np.cumsum(fold[:-1]) > 0, X.LOWER[data], data)
+        return *X.distinct_slices(low, a, z), before[words.first]
 
     def of_texts(self, column: pa.Array, end: int) -> Iterator[np.ndarray]:
         """The ids of each text, then `end`."""
-        for _, _, words in X.text_words(column, X.NON_SPACE):
-            code, distinct = X.distinct(words)
-            ids = [*self.of_words(distinct.to_pylist()), np.array([end])]
-            size = np.array([len(i) for i in ids])
+        for _, _, words in X.text_words(column, X.NON_SPACE, 4 * X.CHUNK_BYTES):
+            code, distinct, first = self.pieces(words)
+            ids = [*self.of_pieces(distinct.to_pylist()), [end]]
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             start = np.cumsum(size) - size
-            code = np.insert(code, words.first[1:], len(ids) - 1)
+            code = np.insert(code, first[1:], len(ids) - 1)
             n = size[code]
             edge = np.zeros(len(code) + 1, dtype=np.int64)
             np.cumsum(n, out=edge[1:])
-            flat = np.concatenate(ids)[np.repeat(start[code] - edge[:-1], n) + np.arange(edge[-1])]
-            cuts = edge[words.first + np.arange(len(words.first))]
+            of_piece = np.fromiter(chain.from_iterable(ids), dtype=self.width, count=int(size.sum()))
+            kind = np.int32 if edge[-1] < 1 << 31 else np.int64
+            flat = of_piece[np.repeat((start[code] - edge[:-1]).astype(kind), n) + np.arange(edge[-1], dtype=kind)]
+            cuts = edge[first + np.arange(len(first))]
             yield from (flat[a:b] for a, b in zip(cuts[:-1], cuts[1:]))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, end: int = END) -> DataFrame:
     """doc_id, ids (unsigned, 16 bits where the vocabulary fits, else 32) of every text."""
     held = spark.sparkContext.broadcast(vocabulary(tokenizer_path))
-    width = id_type(Tokenizer(held.value).size)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(held.value)
         for batch in batches:
-            ids = [i.astype(width) for i in tokenizer.of_texts(batch.column(1), end)]
+            ids = list(tokenizer.of_texts(batch.column(1), end))
             yield pa.RecordBatch.from_arrays([batch.column(0), X.binary_array(ids), pa.array([len(i) for i in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
+def _sums(marks: np.ndarray) -> np.ndarray:
+    """The number of marks before each position of a chunk."""
+    out = np.zeros(len(marks) + 1, dtype=np.int32)
+    np.cumsum(marks, out=out[1:])
+    return out
+
+
 def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -280,7 +357,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path: s
     """Writes the ids of all documents, in ascending order of doc_id, to `path`."""
     if not 0 < max_bits <= 25:
         raise ValueError("codes have 1 to 25 bits")
-    size = max(Tokenizer(vocabulary(tokenizer_path)).size, end + 1)
+    size = Tokenizer(vocabulary(tokenizer_path)).size
     width = id_type(size)
     with Scratch(spark) as scratch:
         coded = scratch.table(token_ids(spark, docs, tokenizer_path, end), "ids")
