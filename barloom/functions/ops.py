@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.errors import CompileError, UnitError
 from barloom.functions.expr import COMPARABLE, NUMERIC, SIGNED, Node, Unit
-from barloom.sources.bars import series
+
+#: The chunk of a series that a row belongs to, or is a copy for.
+CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
@@ -102,6 +105,11 @@ def _constant_unit(node: Node, units: list[Unit]) -> Unit:
     return unit
 
 
+def series():
+    """The window of one chunk of a series in order."""
+    return W.partitionBy("symbol", CHUNK).orderBy("bar_idx")
+
+
 def frame(p: int):
     return series().rowsBetween(-(p - 1), 0)
 

@@ -2,21 +2,21 @@
 
 Every distinct subtree becomes one column, named by its digest, so common
 parts of many expressions are computed once.  Columns are added level by
-level; all windows have one partitioning and order, so a plan has one
-exchange and one sort per series.
+level; all windows of a stage have one partitioning (series and chunk, with a
+halo) and order, so a stage has one exchange and one sort.  Only a recursive
+average under a window makes another stage.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.errors import CompileError
 from barloom.functions.expr import Node, Unit
 from barloom.functions.ops import get
+from barloom.plans.chunks import add_averages, longest_chunk, with_halo, without_halo
 
 
 def unit_of(node: Node) -> Unit:
@@ -82,82 +82,52 @@ def _depth(node: Node, seen: dict[Node, int]) -> int:
     return seen[node]
 
 
-def recursive_mean(x: np.ndarray, alpha: float, before: float | None, block: int = 256) -> tuple[np.ndarray, float | None]:
-    """e + alpha * (x - e) for one value after another, from `before` or the first value, and the last e.
+def _stages(named: dict[str, Node]) -> dict[Node, int]:
+    """The stage of every subtree: a recursive average ends a stage, so what uses one comes in the next."""
+    found: dict[Node, int] = {}
 
-    Within a block it is a product with the powers of 1 - alpha; only the blocks follow one another.
-    """
-    n = len(x)
-    if not n:
-        return x, before
-    e = float(x[0]) if before is None else before
-    block = min(block, n)
-    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
-    weights = np.where(lag >= 0, alpha * (1 - alpha) ** np.maximum(lag, 0), 0.0)
-    fade = (1 - alpha) ** np.arange(1, block + 1)
-    rows = np.concatenate([x, np.zeros(-n % block)]).reshape(-1, block) @ weights.T
-    for row in rows:
-        row += fade * e
-        e = float(row[-1])
-    out = rows.ravel()[:n]
-    return out, float(out[-1])
-
-
-def add_ema(df: DataFrame, targets: list[tuple[str, str, int]]) -> DataFrame:
-    """Recursive averages (input column, output column, period) in one pass over each sorted series.
-
-    The state of a series is a few numbers, carried from batch to batch, so a
-    series of any length takes constant memory.
+    def of(node: Node) -> int:
+        if node not in found:
+            found[node] = max((of(c) + (c.op == "ema") for c in node.children), default=0)
+        return found[node]
+
+    for node in named.values():
+        of(node)
+    return found
+
+
+def _reach(node: Node, stage: dict[Node, int]) -> int:
+    """Bars before one that its value in the node's stage may need."""
+    own = 0 if node.op == "ema" else get(node.op).lookback(node.period or 0)
+    return own + max((_reach(c, stage) for c in node.children if stage[c] == stage[node] and c.op != "ema"), default=0)
+
+
+def evaluate(bars: DataFrame, named: dict[str, Node], keep: list[str] | None = None, chunk: int | None = None) -> DataFrame:
+    """`bars` (or its columns `keep`) with a column for each named expression; `bar_idx` counts the bars of a series without gaps.
+
+    Windows see chunks of `chunk` bars with a halo as long as the lookback of
+    the stage; results do not depend on `chunk`.
     """
-    base = df.columns
-    schema = df.select(*(F.col(c) for c in base)).schema
-    for _, out, _ in targets:
-        schema = schema.add(out, "double")
-    symbol_at, inputs = base.index("symbol"), [base.index(i) for i, _, _ in targets]
-    alphas = [2.0 / (p + 1) for _, _, p in targets]
-
-    def run(batches):
-        now, state = None, [None] * len(alphas)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            symbols = pc.fill_null(batch.column(symbol_at).cast(pa.string()), "\0")
-            changes = np.flatnonzero(pc.not_equal(symbols[1:], symbols[:-1]).to_numpy(zero_copy_only=False)) + 1
-            starts = [0, *changes.tolist(), batch.num_rows]
-            if symbols[0].as_py() != now:
-                state = [None] * len(alphas)
-            now = symbols[-1].as_py()
-            columns = []
-            for t, alpha in enumerate(alphas):
-                column = batch.column(inputs[t])
-                values = column.to_numpy(zero_copy_only=False).astype(np.float64)  # null as NaN
-                known = np.isfinite(values)
-                out = np.zeros(batch.num_rows)
-                for k, (i, j) in enumerate(zip(starts[:-1], starts[1:])):
-                    own = np.flatnonzero(known[i:j]) + i
-                    out[own], state[t] = recursive_mean(values[own], alpha, state[t] if k == 0 else None)
-                columns.append(pa.array(out, mask=~known))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*base, *(o for _, o, _ in targets)])
-
-    from barloom.session import ship
-
-    parts = int(ship(df.sparkSession).conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "symbol").sortWithinPartitions("symbol", "bar_idx").mapInArrow(run, schema)
-
-
-def evaluate(bars: DataFrame, named: dict[str, Node], keep: list[str] | None = None) -> DataFrame:
-    """`bars` (or its columns `keep`) with a column for each named expression."""
     nodes: dict[Node, int] = {}
     for node in named.values():
         unit_of(node)
         _depth(node, nodes)
+    stage = _stages(named)
     df = bars
-    for depth in range(1 + max(nodes.values(), default=0)):
-        level = [x for x, d in nodes.items() if d == depth]
-        ready = {column_name(x): get(x.op).build(x, [F.col(column_name(c)) for c in x.children]) for x in level if x.op != "ema"}
-        df = df.withColumns(ready) if ready else df
-        averages = [(column_name(x.children[0]), column_name(x), x.period) for x in level if x.op == "ema"]
-        df = add_ema(df, averages) if averages else df
+    for now in range(1 + max(stage.values(), default=0)):
+        mine = [x for x, s in stage.items() if s == now]
+        averages = [(column_name(x.children[0]), column_name(x), x.period) for x in mine if x.op == "ema"]
+        halo = max((_reach(x, stage) for x in mine), default=0)
+        halo += halo > 0  # the bar before the first range
+        longest = longest_chunk([p for _, _, p in averages])
+        size = min(chunk or max(longest, 0 if averages else 8 * halo), longest if averages else 1 << 62)
+        if halo or averages:
+            df = with_halo(df, size, halo)
+        for depth in range(1 + max(nodes.values(), default=0)):
+            ready = {column_name(x): get(x.op).build(x, [F.col(column_name(c)) for c in x.children]) for x in mine if nodes[x] == depth and x.op != "ema"}
+            df = df.withColumns(ready) if ready else df
+        df = without_halo(df, size) if halo else df
+        df = add_averages(df, averages) if averages else df
     return df.select(*(keep or bars.columns), *(F.col(column_name(x)).alias(name) for name, x in named.items()))
 
 

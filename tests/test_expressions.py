@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.errors import CompileError, ParseError, UnitError
 from barloom.functions.expr import CLOSE, HIGH, LOW, OPEN, VOLUME, Node, Unit, const, n
 from barloom.functions.ops import OPS, register
-from barloom.plans.compiler import canonical, complexity, ema_array, evaluate, lookback, recursive_mean, unit_of
+from barloom.plans.compiler import canonical, complexity, ema_array, evaluate, lookback, unit_of
 from barloom.streaming.incremental import Evaluator, evaluate_sorted
 from tests.helpers import random_bars
 
@@ -135,14 +136,40 @@ def test_evaluator_shares_states():
     assert sum(x.op == "sma" for x in e.order) == 1
 
 
-@pytest.mark.parametrize("period", [1, 2, 9, 500])
-def test_recursive_mean_in_blocks(period):
-    x = np.random.default_rng(period).normal(100, 5, 1000)
+@pytest.mark.parametrize("chunk", [4, 7, 33, 1000])
+def test_chunks_shorter_and_longer_than_the_periods(spark, frame, chunk):
+    named = {**ALL, **NESTED}
+    a, b = values(evaluate(frame, named, ["symbol", "bar_idx"], chunk), named), values(evaluate_sorted(frame, named), named)
+    for k in named:
+        np.testing.assert_allclose(a[k], b[k], rtol=1e-9, atol=1e-9, err_msg=k)
+
+
+@pytest.mark.parametrize("period", [1, 2, 9, 40, 500])
+@pytest.mark.parametrize("missing", [0.0, 0.3, 0.97])
+def test_recursive_averages_over_chunks(spark, period, missing):
+    rng = np.random.default_rng(period)
+    x = rng.normal(0, 5, 4000)
+    x[rng.random(4000) < missing] = np.nan
+    x[:50] = np.nan
+    rows = [("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [(None, i, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, bar_idx long, close double").repartition(5)
     want = ema_array(x, period)
-    for cuts in ([1000], [1, 256, 300, 1000], [7, 7, 512, 1000]):
-        got, e, at = [], None, 0
-        for stop in cuts:
-            out, e = recursive_mean(x[at:stop], 2.0 / (period + 1), e)
-            got.append(out)
-            at = stop
-        assert np.allclose(np.concatenate(got), want, rtol=1e-12, atol=0)
+    for chunk in (3, 100, 5000):
+        got = evaluate(df, {"e": n("ema", CLOSE, period=period)}, ["symbol", "bar_idx"], chunk).orderBy("symbol", "bar_idx").toPandas()
+        np.testing.assert_allclose(got[got.symbol.notna()].e.to_numpy(float), want, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(got[got.symbol.isna()].e.to_numpy(float), ema_array(np.arange(30.0), period), rtol=1e-9)
+
+
+def test_no_partition_holds_a_whole_series(spark):
+    df = spark.range(64_000).selectExpr("concat('A', id % 1) symbol", "id bar_idx", "id ts", *(f"1.0D + id % 7 {c}" for c in ("open", "high", "low", "close", "volume")))
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for named in ({"z": n("zscore", CLOSE, period=20)}, {"e": n("ema", CLOSE, period=10)}):
+            out = evaluate(df, named, ["symbol", "bar_idx"], 1000)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Python" not in plan and "MapInArrow" not in plan and "SinglePartition" not in plan
+            held = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(held) == 64_000 and len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(held) < 40_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
