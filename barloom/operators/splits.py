@@ -1,7 +1,8 @@
 """Leakage-safe index ranges: nested walk-forward and combinatorial purged splits.
 
-Ranges are half-open and few (a plan is computed on the driver); they meet the
-bars in a range join whose small side is the plan.
+Ranges are half-open.  A plan is computed on the driver, combinatorial training
+ranges by the algebra of range tables; ranges meet the bars in an equal join on
+blocks of bars.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.errors import SplitError
+from barloom.operators import sweep
 
 Range = tuple[int, int]
 
@@ -121,11 +123,13 @@ def check_plan(plan: Plan) -> None:
                 if overlaps(r, (other.test[1], other.test[1] + e)):
                     raise SplitError("training lies in an embargo", fold=k, range=r)
         for train, val in f.inner:
-            if not any(a <= val[0] and val[1] <= f.test[0] for a in (0,)):
-                raise SplitError("validation outside outer training", fold=k)
+            if val[0] < 0 or val[1] + p > f.test[0]:
+                raise SplitError("validation is not purged before the outer test", fold=k)
             for r in train:
                 if r[1] + p > val[0] or not any(a <= r[0] and r[1] <= b for a, b in f.train):
                     raise SplitError("inner training leaks", fold=k, range=r)
+                if any(overlaps(r, (other[1], other[1] + e)) for _, other in f.inner[: f.inner.index((train, val))]):
+                    raise SplitError("inner training lies in an embargo", fold=k, range=r)
 
 
 def combinatorial(n_bars: int, groups: int, test_groups: int, purge: int, embargo: int) -> list[tuple[list[Range], list[Range]]]:
@@ -154,10 +158,23 @@ def combinatorial_frame(spark: SparkSession, splits: list[tuple[list[Range], lis
     return spark.createDataFrame(rows, RANGES)
 
 
+def combinatorial_ranges(bars: DataFrame, groups: int, test_groups: int, purge: int, embargo: int) -> DataFrame:
+    """`combinatorial` for all bars of the longest series as a table: the training ranges are what the tests' surroundings leave of all bars."""
+    spark = bars.sparkSession
+    n = bars.agg((F.max("bar_idx") + 1).alias("n"))
+    edge = lambda g: F.bround(g * F.col("n") / groups).cast("long")
+    chosen = [(k, g) for k, some in enumerate(combinations(range(groups), test_groups)) for g in some]
+    tests = spark.createDataFrame(chosen, "plan int, g int").crossJoin(F.broadcast(n)).select("plan", edge(F.col("g")).alias("start"), edge(F.col("g") + 1).alias("stop"), "n")  # n is one row
+    cuts = tests.select("plan", F.greatest(F.lit(0), F.col("start") - purge).alias("start"), F.least("n", F.col("stop") + embargo).alias("stop"))
+    whole = tests.select("plan", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
+    train = sweep.subtract(whole, cuts, ["plan"])
+    role = lambda rows, name: rows.select("plan", F.lit(-1).alias("inner"), F.lit(name).alias("role"), "start", "stop")
+    return role(train, "train").unionByName(role(tests, "test"))
+
+
 def bars_in_ranges(bars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The bars of each range; a plan has some hundred rows, so it is the broadcast side."""
-    r = F.broadcast(ranges)
-    return bars.join(r, (bars["bar_idx"] >= r["start"]) & (bars["bar_idx"] < r["stop"]))
+    """The bars of each range."""
+    return sweep.points_in_ranges(bars, "bar_idx", ranges)
 
 
 def leaks(ranges: DataFrame, purge: int) -> DataFrame:
