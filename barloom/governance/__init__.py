@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.errors import ContractError, LockboxError, StateError
+from barloom.operators import hashtree
 from barloom.operators.splits import Plan
 
 
@@ -26,12 +27,17 @@ def digest_of(doc) -> str:
     return hashlib.sha256(canonical_json(doc).encode()).hexdigest()
 
 
+_BAR = ("symbol", "bar_idx", "ts", "open", "high", "low", "close", "volume")
+
+
+def content_tree(bars: DataFrame) -> DataFrame:
+    """The hash tree of all bars: symbol, level, node, digest, n_rows."""
+    return hashtree.tree(bars.select(*(c for c in _BAR if c in bars.columns)), ["symbol"], "bar_idx")
+
+
 def content_digest(bars: DataFrame) -> str:
-    """A hash of all bars that does not depend on partitioning: row hashes summed by symbol, then one hash of the sums."""
-    cols = [c for c in ("symbol", "bar_idx", "ts", "open", "high", "low", "close", "volume") if c in bars.columns]
-    rows = bars.select("symbol", F.conv(F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols)), 256), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
-    sums = rows.groupBy("symbol").agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).orderBy("symbol").collect()
-    return digest_of([[r["symbol"], str(r["h"]), r["n"]] for r in sums])
+    """The root of the hash tree of all bars; it does not depend on partitioning."""
+    return hashtree.root(content_tree(bars), ["symbol"])
 
 
 def write_once(path: str, doc: dict) -> None:
@@ -57,7 +63,17 @@ def verify_manifest(path: str, bars: DataFrame) -> None:
         raise StateError("data differs from its manifest", path=path)
 
 
-TRANSITIONS = {"CREATED": {"SEALED"}, "SEALED": {"SEARCHING"}, "SEARCHING": {"FROZEN", "NO_EDGE_FOUND"}, "FROZEN": {"DISCLOSED", "REJECTED", "SHORTLISTED"}, "SHORTLISTED": {"DISCLOSED", "REJECTED"}}
+#: States and what may follow each, and the seals that one needs to leave the first.
+TRANSITIONS = {
+    "CREATED": {"SEALED"},
+    "SEALED": {"SEARCH_ACTIVE"},
+    "SEARCH_ACTIVE": {"SHORTLISTED", "CLOSED_NO_EDGE"},
+    "SHORTLISTED": {"FROZEN", "CLOSED_NO_EDGE"},
+    "FROZEN": {"DISCLOSED"},
+    "DISCLOSED": {"CLOSED_ACCEPTED", "CLOSED_REJECTED"},
+}
+REQUIRED_SEALS = ("data_content_hash", "split_plan_hash", "config_hash", "seed")
+LOCKBOX_ACTOR = "lockbox_guard"
 
 
 class Experiment:
@@ -73,6 +89,10 @@ class Experiment:
     def move(self, to: str, actor: str = "engine", reason: str = "") -> None:
         if to not in TRANSITIONS.get(self.state, ()):
             raise StateError("no such transition", of=self.state, to=to)
+        if self.state == "CREATED" and (missing := [k for k in REQUIRED_SEALS if k not in self.seals]):
+            raise StateError("seals are missing", missing=missing)
+        if to == "DISCLOSED" and actor != LOCKBOX_ACTOR:
+            raise StateError("only the lockbox discloses", actor=actor)
         self.log.append({"of": self.state, "to": to, "actor": actor, "reason": reason})
         self.state = to
 
@@ -102,24 +122,24 @@ class Lockbox:
         e = self.experiment
         if e.state != "FROZEN" or not actor or not reason:
             raise LockboxError("only a frozen experiment opens its lockbox, once, for a stated reason", state=e.state)
-        if e.seals.get("plan") != digest_of(self.plan.rows()) or e.seals.get("data") != content_digest(bars):
+        if e.seals.get("split_plan_hash") != digest_of(self.plan.rows()) or e.seals.get("data_content_hash") != content_digest(bars):
             raise LockboxError("plan or data differ from their seals")
-        e.move("DISCLOSED", actor, reason)
+        e.move("DISCLOSED", LOCKBOX_ACTOR, f"{actor}: {reason}")
         return bars.where(F.col("bar_idx") >= self.plan.lockbox[0])
 
 
-#: Keys that no message to a model may hold, and what proposals of features need.
-FORBIDDEN_KEYS = {"lockbox", "holdout", "lockbox_bars", "lockbox_results"}
+#: What no key in a message to a model may contain, and what proposals of features need.
+FORBIDDEN_IN_KEYS = ("lockbox", "holdout", "sealed_test", "final_test")
 _NAME = re.compile(r"^[a-z][a-z0-9_]{2,40}$")
 
 
 def forbid_lockbox(doc, path: str = "$") -> None:
     if isinstance(doc, dict):
         for k, v in doc.items():
-            if str(k).lower() in FORBIDDEN_KEYS:
+            if any(term in str(k).lower() for term in FORBIDDEN_IN_KEYS):
                 raise ContractError("held-out content in a message", at=f"{path}.{k}")
             forbid_lockbox(v, f"{path}.{k}")
-    elif isinstance(doc, list):
+    elif isinstance(doc, (list, tuple)):
         for k, v in enumerate(doc):
             forbid_lockbox(v, f"{path}[{k}]")
 

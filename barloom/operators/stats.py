@@ -10,11 +10,13 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.errors import StatisticsError
+from barloom.functions.normal import cdf, inverse
+from barloom.operators.ordinals import ntiles
 
 _NORMAL = NormalDist()
 EULER = 0.5772156649015329
@@ -53,6 +55,28 @@ def deflated_sharpe(row: dict, trials: float, variance: float) -> float:
     return probabilistic_sharpe(row["sharpe"], row["skew"], row["kurt"], row["n"], expected_max_sharpe(trials, variance))
 
 
+def deflated_sharpes(moments: DataFrame, trials: DataFrame, benchmark: float = 0.0) -> DataFrame:
+    """cand, psr, expected_max, dsr of all candidates in one plan.
+
+    `moments` as `sharpe_moments` gives them; `trials`: one row with
+    n_effective.  The variance is that of the candidates' ratios.  A candidate
+    without a ratio has probability 0, one with fewer than four returns none.
+    """
+    spread = moments.agg(F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("_variance"))
+    one = trials.select(F.col("n_effective").cast("double").alias("_trials")).crossJoin(spread)  # one row
+    t = F.col("_trials")
+    best = F.sqrt("_variance") * ((1 - EULER) * inverse(1 - 1 / t) + EULER * inverse(1 - 1 / (t * math.e)))
+    rows = moments.crossJoin(F.broadcast(one)).withColumn("expected_max", F.when((t > 1) & (F.col("_variance") > 0), best).otherwise(0.0))
+    s = F.col("sharpe")
+    wide = 1 - F.col("skew") * s + (F.col("kurt") - 1) / 4 * s * s
+
+    def above(level: Column) -> Column:
+        z = (s - level) * F.sqrt(F.col("n") - 1) / F.sqrt(wide)
+        return F.when(F.col("n") >= 4, F.when(s.isNull() | (wide <= 0), 0.0).otherwise(cdf(z)))
+
+    return rows.select("cand", above(F.lit(benchmark)).alias("psr"), "expected_max", above(F.col("expected_max")).alias("dsr"))
+
+
 def effective_trials(battery: DataFrame) -> DataFrame:
     """n_candidates and n_effective: k * k over the sum of squared correlations, candidates without variance left out.
 
@@ -78,7 +102,7 @@ def cscv(battery: DataFrame, groups: int) -> DataFrame:
     spark = battery.sparkSession
     combos = [(k, g, g in chosen) for k, chosen in enumerate(combinations(range(1, groups + 1), groups // 2)) for g in range(1, groups + 1)]
     table = F.broadcast(spark.createDataFrame(combos, "combo int, grp int, inside boolean"))
-    times = battery.select("t").distinct().withColumn("grp", F.ntile(groups).over(W.orderBy("t")))
+    times = ntiles(battery.select("t").distinct(), ["t"], groups, "grp")
     rows = battery.join(times, "t").join(table, "grp")
     mean, sd = F.avg("ret"), F.stddev_samp("ret")
     perf = rows.groupBy("combo", "inside", "cand").agg(F.when(sd > 0, mean / sd).otherwise(F.lit(float("-inf"))).alias("perf"))

@@ -131,14 +131,47 @@ def test_pareto_and_hypervolume(spark):
 def test_event_log(spark, tmp_path):
     log = memory.EventLog(spark, str(tmp_path / "log"))
     assert log.count() == 0
-    assert log.append("candidate_evaluated", {"operator": "jitter", "context": "c", "reward": True, "failure_labels": ["OVERFIRE"]}) == 1
-    assert log.append_many([("candidate_evaluated", {"operator": "jitter", "context": "c", "reward": False, "failure_labels": []}), ("lesson_added", {})]) == [2, 3]
+    one = log.append("candidate_evaluated", {"operator": "jitter", "context": "c", "reward": True, "failure_labels": ["OVERFIRE"]})
+    two = log.append_many([("candidate_evaluated", {"operator": "jitter", "context": "c", "reward": False, "failure_labels": []}), ("lesson_added", {})])
+    assert sorted(r.id for r in log.events().collect()) == [one, *two]
     with pytest.raises(MemoryError_):
         log.append("other", {})
     got = memory.operator_outcomes(memory.payloads(log.events("candidate_evaluated"))).first()
     assert (got.successes, got.trials, got.posterior_mean) == (1, 2, 0.5)
 
 
+def test_event_log_writes_a_batch_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    a, b = memory.EventLog(spark, path), memory.EventLog(spark, path)
+    rows = spark.createDataFrame([("lesson_added", f'{{"n":{i}}}') for i in range(50)], "kind string, payload string").repartition(4)
+    assert a.append_frame("q-0", rows) and not a.append_frame("q-0", rows) and not b.append_frame("q-0", rows)
+    assert b.append_frame("q-1", rows.limit(3))
+    # two writers that both saw no commit: the second one's part is dropped
+    b.committed = lambda batch: False
+    assert not b.append_frame("q-1", rows)
+    # a writer that died before its commit
+    spark.createDataFrame([("q-2", 0, "t", "lesson_added", "{}")], memory.EVENTS).write.parquet(f"{path}/data/part=dead")
+    got = a.events().collect()
+    assert len(got) == 53 and len({r.id for r in got}) == 53 and sorted(r.n for r in got if r.batch == "q-0") == list(range(50))
+    assert a.append_many([("lesson_added", {})], batch="q-1") and a.count() == 53
+    with pytest.raises(MemoryError_):
+        a.append_frame("q-3", rows.selectExpr("'other' kind", "payload"))
+
+
+def test_event_log_of_a_stream(spark, tmp_path):
+    for k in range(2):
+        spark.createDataFrame([("lesson_added", str(k))], "kind string, payload string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    log = memory.EventLog(spark, str(tmp_path / "log"))
+    source = spark.readStream.schema("kind string, payload string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def write(frame, epoch):
+        log.append_frame(f"s-{epoch}", frame)
+        log.append_frame(f"s-{epoch}", frame)  # as after a failure
+
+    source.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.payload for r in log.events().collect()) == ["0", "1"]
+
+
 def test_lineage(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None)], "node long, parent long")
     roots = memory.lineage_roots(df)
