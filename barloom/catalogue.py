@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom import catalogue_sql as S
 from barloom.functions.expr import CLOSE, HIGH, LOW, OPEN, VOLUME, Node, Unit, const, n
 from barloom.operators import memory, parity, quality, ranking, regimes, simulate, splits, stats
+from barloom.operators.ordinals import ordinals
 from barloom.plans.compiler import canonical, evaluate
 from barloom.sources import bars as B
 from barloom.streaming import incremental, ticks
@@ -241,8 +242,8 @@ def fold_bar_counts(spark, d):
       SELECT split, symbol, bar_idx, bool_or(bar_idx >= a AND bar_idx < b) AS inside, bool_or(bar_idx >= a - 5 AND bar_idx < b + 3) AS near FROM bars, pl GROUP BY ALL) GROUP BY ALL"""
 )
 def cpcv_train_counts(spark, d):
-    n = bars(spark, d).agg(F.max("bar_idx")).first()[0] + 1
-    rows = splits.bars_in_ranges(bars(spark, d), splits.combinatorial_frame(spark, splits.combinatorial(n, 6, 2, 5, 3)))
+    b = bars(spark, d)
+    rows = splits.bars_in_ranges(b, splits.combinatorial_ranges(b, 6, 2, 5, 3))
     return rows.groupBy("plan", "symbol").agg(F.count_if(F.col("role") == "test").alias("test_bars"), F.count_if(F.col("role") == "train").alias("train_bars"))
 
 
@@ -579,8 +580,8 @@ def battery(spark, d) -> DataFrame:
     six = e.groupBy(F.col("event_type").alias("cand"), b.alias("b")).agg(F.avg("value").alias("m"))
     before = F.lag("m").over(W.partitionBy("cand").orderBy("b"))
     ret = six.withColumn("ret", F.round(F.col("m") / F.nullif(before, F.lit(0.0)) - 1, DIGITS)).where("ret is not null")
-    steps = ret.select("b").distinct().withColumn("t", (F.row_number().over(W.orderBy("b")) - 1).cast("long"))
-    return ret.join(F.broadcast(steps), "b").select("t", "cand", "ret")
+    steps = ordinals(ret.select("b").distinct(), ["b"], "t", 0)
+    return ret.join(steps, "b").select("t", "cand", "ret")
 
 
 _BAT = "WITH " + S.BATTERY

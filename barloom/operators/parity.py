@@ -10,19 +10,21 @@ SIGNALS = "time long, entry_long string, entry_short string, allow string, atr d
 TRADES = "open_time long, close_time long, direction int, lots double, entry_price double, exit_price double, sl double, tp double, exit_reason string"
 
 
-def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """`;`-separated with a checked header; a malformed row raises."""
-    rows = spark.read.schema(SIGNALS).option("sep", ";").option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    return rows.select("time", *((F.col(c) == "1").alias(c) for c in ("entry_long", "entry_short", "allow")), "atr")
+def read_signals(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
+    """`;`-separated with a checked header; a malformed row raises.  `by`: columns whose values are in the folders' names."""
+    by = by or []
+    rows = spark.read.schema(", ".join([SIGNALS, *(f"`{c}` string" for c in by)])).option("sep", ";").option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return rows.select(*by, "time", *((F.col(c) == "1").alias(c) for c in ("entry_long", "entry_short", "allow")), "atr")
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRADES).option("sep", ";").option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
-def write_signals(signals: DataFrame, path: str) -> None:
+def write_signals(signals: DataFrame, path: str, by: list[str] | None = None) -> None:
     flag = lambda c: F.when(F.col(c), "1").otherwise("0").alias(c)
-    signals.select("time", flag("entry_long"), flag("entry_short"), flag("allow"), F.format_string("%.10f", "atr").alias("atr")).write.option("sep", ";").option("header", True).csv(path)
+    rows = signals.select(*(by or []), "time", flag("entry_long"), flag("entry_short"), flag("allow"), F.format_string("%.10f", "atr").alias("atr"))
+    rows.write.partitionBy(*(by or [])).option("sep", ";").option("header", True).csv(path)
 
 
 def write_trades(trades: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ open, high, low, close, volume and, where known, spread_points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,13 +44,13 @@ def bars_from_events(events: DataFrame, symbol: str = "event_type", seconds: int
     return out.select("symbol", idx.cast("long").alias("bar_idx"), F.col("ts_s").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def read_bar_json(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of every JSON export at `path`; raises where a document's arrays disagree with its declared count.
+def read_bar_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Bars of every JSON export at `path` (a file each, or a line each: `lines`); raises where a document's arrays disagree with its declared count.
 
     The position in the arrays is the bar index: the order is never taken from
     the times, so a broken order stays visible to the quality checks.
     """
-    docs = spark.read.schema(BAR_JSON).option("multiLine", True).json(path)
+    docs = spark.read.schema(BAR_JSON).option("multiLine", not lines).json(path)
     sizes = [F.size(c) for c in _SERIES]
     wrong = docs.where(~(F.coalesce(F.least(*sizes) == F.greatest(*sizes), F.lit(False)) & F.coalesce(F.col("bars") == F.size("time"), F.lit(True))))
     bad = wrong.select("symbol").head()
@@ -92,9 +92,9 @@ def read_instruments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def discover(spark: SparkSession, path: str) -> DataFrame:
+def discover(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """symbol, period and number of bars of each readable export under a folder; others are left out."""
-    d = spark.read.schema(BAR_JSON + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    d = spark.read.schema(BAR_JSON + ", _corrupt string").option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     ok = F.col("symbol").isNotNull() & F.col("period").isNotNull() & F.col("time").isNotNull() & F.col("close").isNotNull()
     return d.where(ok).select("symbol", "period", F.size("time").alias("n_bars"))
 
@@ -116,3 +116,23 @@ def research_view(bars: DataFrame, lockbox_share: float = 0.2) -> DataFrame:
     """All bars before the held-out tail of each symbol."""
     n = F.count(F.lit(1)).over(W.partitionBy("symbol"))
     return bars.withColumn("_n", n).where(F.col("bar_idx") < F.floor(F.col("_n") * (1 - lockbox_share))).drop("_n")
+
+
+def _utc(ts: str) -> Column:
+    return F.expr(f"timestampadd(SECOND, {ts}, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
+def iso_text(ts: str) -> Column:
+    """Epoch seconds as ISO text in UTC."""
+    return F.date_format(_utc(ts), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def dotted_text(ts: str) -> Column:
+    """Epoch seconds as dates of exports are written."""
+    return F.date_format(_utc(ts), "yyyy.MM.dd HH:mm")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, digest (SHA-256) of every file; a file is held whole in one task, 2 GB at most."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("digest"))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from barloom import catalogue
+from barloom import catalogue, catalogue_tables  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
