@@ -10,14 +10,20 @@ pages:
 
 * what says the same on all of ``LEAST_PAGES`` pages or more, slots none, is
   template, whatever it is called, and so is what is mostly links;
+* but headings, paragraphs, lists and other blocks of text that stand among
+  changing ones are text as well, even if they say the same or are links: all of
+  them in an element most of whose changing text stands in such blocks, those
+  from the first changing one to the last in the body itself;
 * an article, main or content element that holds most of the text in slots is
-  the content, all of its occurrences; if there is none, it is the whole body
-  without the template;
+  the content, all of its occurrences, and so are the elements beside it that
+  change, unless they are mostly links, fixed texts or a repeated group; if there
+  is none, it is the whole body without the template;
 * what a name (menu, advert, comments ...) or a tag marks as no part of an
   article goes, but an element is not believed by its name if it holds most of
-  the text in slots.
+  the text in slots, or if its name also says content, is one of things that
+  are the same on all pages (notice, cookie, menu ...), and all in it changes.
 
-Inside the content element repeated and fixed texts stay.  ``PAGES_PER_HOST``
+Inside the content elements repeated and fixed texts stay.  ``PAGES_PER_HOST``
 pages of a host at most (by a hash of their ids) are aligned: a bounded sample
 for the fit; every page is read, whole.  What its wrapper does not know is
 read by names and tags.
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm._spark import Scratch, wide_rows
+from barloom.llm._spark import Scratch, on_hot, wide_rows
 
 PAGES_PER_HOST = 12
 #: From so many pages on, what does not change is taken for template.
@@ -75,8 +81,15 @@ NAMES = set(
     " consent gdpr notice notices notification notifications popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations breadcrumb"
     " breadcrumbs menu menus nav navbar navigation topbar footer masthead pagination pager widget widgets toolbar search contentinfo complementary".split()
 )
+#: Of these, what by its nature says the same on every page of a host.
+STILL_NAMES = set(
+    "banner cookie cookies consent gdpr notice notices notification notifications newsletter subscribe signup login share sharing breadcrumb breadcrumbs menu menus nav navbar navigation"
+    " topbar masthead pagination pager toolbar search".split()
+)
 OUTSIDE_NAMES = {"header", "topnav", "top"}
 CONTENT_NAMES = {"content", "article", "story", "entry", "post", "main", "articlebody", "text", "body"}
+#: Elements that are blocks of a running text.
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 _DEPTH = 400
 _SIBLINGS = 200
 _CELLS = 250_000
@@ -175,8 +188,8 @@ def by_name(node: Node, inside: bool) -> bool:
     return bool(names & NAMES) or not inside and bool(names & OUTSIDE_NAMES)
 
 
-def blocks(node: Node, inside: bool, plan: Plan, path: Path = ()) -> list[str]:
-    """The texts of the blocks below an element, in order, white space reduced; inside: of the content."""
+def blocks(root: Node, plan: Plan, whole: bool = False) -> list[str]:
+    """The texts of the blocks of a page's content, in order, white space reduced; whole: of the page, whatever its content elements."""
     out: list[str] = []
     line: list[str] = []
 
@@ -186,23 +199,27 @@ def blocks(node: Node, inside: bool, plan: Plan, path: Path = ()) -> list[str]:
             out.append(text)
         line.clear()
 
-    def walk(node: Node, path: Path, inside: bool) -> None:
+    def walk(node: Node, path: Path, inside: bool, reading: bool) -> None:
         for child in node.children:
             if not child.tag:
-                line.append(child.text or "")
+                if reading:
+                    line.append(child.text or "")
                 continue
             here = (*path, child.label)
+            begins = not reading and here in plan.begins
+            if not (reading or begins or here in plan.ways):
+                continue
             if plan.reads(child, here, inside):
-                inline = child.tag in INLINE
+                inline = child.tag in INLINE and not begins
                 if not inline:
                     flush()
-                walk(child, here, inside or child.tag == "article")
+                walk(child, here, inside or begins or child.tag == "article", reading or begins)
                 if not inline:
                     flush()
             elif child.tag not in UNSEEN:
                 flush()
 
-    walk(node, path, inside)
+    walk(root, (), False, whole or not plan.content)
     flush()
     return out
 
@@ -308,10 +325,13 @@ Path = tuple[tuple[str, frozenset[str]], ...]
 
 
 class Plan:
-    """What is read of the pages of a host: the labels down to the content element (none: the body), and what goes or stays against its name."""
+    """What is read of the pages of a host: the labels down to the content element (none: the body), what goes or stays against its name, and what stands beside the content and is text too."""
 
-    def __init__(self, content: Path = (), goes: set[Path] | None = None, stays: set[Path] | None = None) -> None:
-        self.content, self.goes, self.stays = content, goes or set(), stays or set()
+    def __init__(self, content: Path = (), goes: set[Path] | None = None, stays: set[Path] | None = None, beside: set[Path] | None = None) -> None:
+        self.content, self.goes, self.stays, self.beside = content, goes or set(), stays or set(), beside or set()
+        self.begins = self.beside | {content} if content else set()
+        #: the elements on the way to content
+        self.ways = {path[:k] for path in self.begins for k in range(1, len(path))}
 
     def reads(self, node: Node, path: Path, inside: bool) -> bool:
         if path in self.stays:
@@ -320,13 +340,13 @@ class Plan:
 
     def encode(self) -> str:
         plain = lambda path: [[tag, *sorted(names)] for tag, names in path]
-        return json.dumps([plain(self.content), sorted(map(plain, self.goes)), sorted(map(plain, self.stays))])
+        return json.dumps([plain(self.content), *(sorted(map(plain, paths)) for paths in (self.goes, self.stays, self.beside))])
 
     @staticmethod
     def decode(text: str) -> Plan:
         path = lambda plain: tuple((tag, frozenset(names)) for tag, *names in plain)
-        content, goes, stays = json.loads(text)
-        return Plan(path(content), set(map(path, goes)), set(map(path, stays)))
+        content, *sets = json.loads(text)
+        return Plan(path(content), *(set(map(path, paths)) for paths in sets))
 
 
 def _sizes(node: Node, fixed_counts: bool, linked: bool = False) -> tuple[int, int, int]:
@@ -349,12 +369,31 @@ def _rank(node: Node) -> int:
     return 1 if node.tag in ("div", "section", "td") and names & CONTENT_NAMES else 0
 
 
+def _repeats(node: Node) -> int:
+    """Characters of an element's texts that stand in repeated groups of other elements than blocks of text."""
+    if not node.tag:
+        return 0
+    return sum(_size(c) if c.repeated and c.tag and c.tag not in TEXT_BLOCKS and c.tag not in INLINE else _repeats(c) for c in node.children)
+
+
+def _size(node: Node) -> int:
+    return node.size if not node.tag else sum(map(_size, node.children))
+
+
+def _changes_against_its_name(node: Node, n_pages: int, sizes: tuple[int, int, int]) -> bool:
+    """Whether a name of things that never change (a notice ...), which also says content, stands on what changes from page to page."""
+    names = {n.rstrip("0123456789") for n in node.names}
+    free, link, fixed = sizes
+    return n_pages >= LEAST_PAGES and bool(names & CONTENT_NAMES) and names & NAMES <= STILL_NAMES and free > link and not fixed and not node.repeated
+
+
 def decide(wrapper: Node, n_pages: int = 1) -> Plan:
     """What the wrapper of `n_pages` different pages says of its elements."""
     fixed_counts = n_pages >= LEAST_PAGES
     plan = Plan()
     free_of: dict[Path, int] = {}
     rank_of: dict[Path, int] = {}
+    among: dict[Path, bool] = {}
     kept: set[Path] = set()
 
     def total(node: Node, inside: bool) -> int:
@@ -366,59 +405,75 @@ def decide(wrapper: Node, n_pages: int = 1) -> Plan:
     everything = _sizes(wrapper, fixed_counts)[0]
     unnamed = total(wrapper, False)
 
+    def text_blocks(node: Node) -> set[int]:
+        """The places of an element's children that are text because of the changing blocks around them."""
+        changing, running = [], 0
+        for k, child in enumerate(node.children):
+            if not child.tag or child.tag in TEXT_BLOCKS or child.tag in INLINE:
+                free, link, _ = _sizes(child, fixed_counts)
+                running += free
+                if free > link:
+                    changing.append(k)
+        if not changing or not fixed_counts:
+            return set()
+        held = {k for k, child in enumerate(node.children) if child.tag in TEXT_BLOCKS}
+        if node.tag not in ("", "#page", "html", "body") and 2 * running > _sizes(node, fixed_counts)[0]:
+            return held
+        return {k for k in held if changing[0] <= k <= changing[-1]}
+
     def walk(node: Node, path: Path, inside: bool) -> None:
-        for child in node.children:
+        text = text_blocks(node)
+        for k, child in enumerate(node.children):
             if not child.tag:
                 continue
             here = (*path, child.label)
-            free, link, fixed = _sizes(child, fixed_counts)
+            free, link, fixed = sizes = _sizes(child, fixed_counts)
             if boilerplate(child, inside):
-                # a name is not believed if nearly all the text is there
-                if by_tag(child, inside) or not 2 * free > everything or unnamed >= free:
+                if by_tag(child, inside):
+                    continue
+                # a name is not believed if nearly all the text is there, or if it names what does not change
+                if not (2 * free > everything and unnamed < free) and not _changes_against_its_name(child, n_pages, sizes):
                     continue
                 plan.stays.add(here)
-            if child.tag not in INLINE and child.tag not in ("html", "body"):
+            if k in text:
+                kept.add(here)
+            elif child.tag not in INLINE and child.tag not in ("html", "body"):
                 if not free and fixed or link > free:
                     plan.goes.add(here)
                     continue
                 kept.add(here)
             free_of[here] = free_of.get(here, 0) + free
             rank_of[here] = _rank(child)
+            # what may be content because it stands beside content: not a list, and not mostly fixed
+            among[here] = among.get(here, True) and child.tag not in INLINE and free > link and free >= fixed and not child.repeated and 2 * _repeats(child) <= free
             walk(child, here, inside or child.tag == "article")
 
     walk(wrapper, (), False)
     plan.goes -= kept  # elements of one label, of which some hold text
     whole = sum(free for path, free in free_of.items() if len(path) == 1)
-    most = [(rank_of[path], free, path) for path, free in free_of.items() if rank_of[path] and 2 * free > whole and not any(path[:k] in plan.goes for k in range(len(path)))]
+    most = [(rank_of[path], free, path) for path, free in free_of.items() if rank_of[path] and not any(path[:k] in plan.goes for k in range(len(path)))]
+    # elements of one parent and rank are one content, in parts
+    parts: dict[tuple[Path, int], int] = {}
+    for rank, free, path in most:
+        parts[path[:-1], rank] = parts.get((path[:-1], rank), 0) + free
+    most = [(rank, free, path) for rank, free, path in most if 2 * parts[path[:-1], rank] > whole]
     if most:
-        plan.content = max(most, key=lambda x: (x[0], x[1], -len(x[2])))[2]
+        best = max(most, key=lambda x: (x[0], x[1], -len(x[2])))[2]
+        beside = {path for path in free_of if path[:-1] == best[:-1] and path not in plan.goes and fixed_counts and (among[path] or rank_of[path])}
+        return Plan(best, plan.goes, plan.stays, beside - {best})
     return plan
 
 
-def _at(node: Node, rest: Path, plan: Plan, path: Path = (), inside: bool = False) -> list[Node]:
-    """The elements of a page at a path of labels; what is not read on the way is left out."""
-    if not rest:
-        return [node]
-    out: list[Node] = []
-    for child in node.children:
-        here = (*path, child.label)
-        if child.tag and child.label == rest[0] and plan.reads(child, here, inside):
-            out += _at(child, rest[1:], plan, here, inside or child.tag == "article")
-    return out
-
-
 def extract(page: str | None, plan: Plan | None = None) -> str:
     """The main text of a page as its host's wrapper tells, or, if that finds nothing there, as it tells itself."""
     if not page:
         return ""
     tree = parse(page)
-    if plan is None or plan.content and not _at(tree, plan.content, plan):
+    found = blocks(tree, plan) if plan is not None else []
+    if not found and (plan is None or plan.content):
         plan = decide(wrapper_of([page]) or Node("#page"))
-    if plan.content:
-        found = [blocks(n, True, plan, plan.content) for n in _at(tree, plan.content, plan)]
-        if any(found):
-            return " ".join(text for part in found for text in part)
-    return " ".join(blocks(tree, False, plan))
+        found = blocks(tree, plan) or blocks(tree, plan, True)
+    return " ".join(found)
 
 
 def host_column():
@@ -444,9 +499,6 @@ def main_texts(spark: SparkSession, pages: DataFrame, pages_per_host: int = PAGE
     wide_rows(spark)
     with Scratch(spark) as scratch:
         found = scratch.finish(wrappers(spark, pages, pages_per_host).select("host", "plan"))
-    # a host and some paths of tags each: sent along once their number and size are known, else joined
-    size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("host") + F.length("plan")), F.lit(0))).first()
-    found = F.broadcast(found) if size[0] <= MOST_BROADCAST and size[1] <= MOST_BROADCAST_CHARS else found
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"), host_column())
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url {rows.schema['url'].dataType.simpleString()}, text string, n_chars long"
 
@@ -462,4 +514,11 @@ def main_texts(spark: SparkSession, pages: DataFrame, pages_per_host: int = PAGE
                 texts.append(extract(page.as_py(), plans[plan]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "plan").mapInArrow(run, schema)
+    # a host and some paths of tags each: sent along once their number and size are known, else joined, large hosts where their pages are
+    size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("host") + F.length("plan")), F.lit(0))).first()
+    if size[0] <= MOST_BROADCAST and size[1] <= MOST_BROADCAST_CHARS:
+        planned = rows.join(F.broadcast(found), "host", "left")
+    else:
+        counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        planned = on_hot(rows, found.join(counts, "host"), "host", "n", "left")
+    return planned.select("page_id", "url", "html", "plan").mapInArrow(run, schema)

@@ -59,6 +59,14 @@ def test_main_text(spark, tag):
     assert html.main_texts(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_hosts_too_many_to_broadcast(spark, monkeypatch):
+    pages = [(k, f"http://big.example/{k}", f"<div class=c1>Site</div><p>Text {k} of it</p><div class=c4>Footer</div>") for k in range(1500)] + [(2000 + k, f"http://h{k % 9}.example/{k}", f"<p>Small {k}") for k in range(60)] + [(3000, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    want = {tuple(r) for r in html.main_texts(spark, df).collect()}
+    monkeypatch.setattr(html, "MOST_BROADCAST", 0)
+    assert {tuple(r) for r in html.main_texts(spark, df).collect()} == want and (7, "http://big.example/7", "Text 7 of it", 12) in want and len(want) == len(pages)
+
+
 def test_wrappers_generalise(spark):
     a = "<html><body><ul><li>a</li><li>b</li></ul><p>fixed</p><p>one</p></body></html>"
     b = "<html><body><ul><li>c</li></ul><h2>x</h2><p>fixed</p><p>two</p><p>three</p></body></html>"
@@ -131,6 +139,69 @@ def test_alignment_against_brute_force():
         assert sum(1 for a, b in got if a and b) == most
 
 
+def _read(pages):
+    plan = html.Plan.decode(html.decide(html.wrapper_of(pages), len(pages)).encode())
+    return [html.extract(p, plan) for p in pages]
+
+
+def _site(body, n=5):
+    frame = "<html><body><div class=c1><span>The Daily Site</span><ul><li><a href=/a>News</a><li><a href=/b>Sport</a></ul></div>{}<div class=c4>Copyright, all rights reserved</div></body></html>"
+    return [frame.format(body.replace("@", f"{k} of page {k}")) for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<div class='content intro'><p>Short intro @</p></div><div class='content body'><p>The longer body @</p><p>and more of it @</p></div>", "Short intro @ The longer body @ and more of it @"),
+        ("<div class=lead><p>The lead @</p></div><article><p>The article @</p><p>and more of it @</p></article>", "The lead @ The article @ and more of it @"),
+        ("<div class=c2><h1>Title @</h1><p>Text @</p><h2>Summary</h2><p>More @</p><p>Written by the staff</p></div>", "Title @ Text @ Summary More @ Written by the staff"),
+        ("<div class=c2><p>Some text here @</p><p><a href=/x>Reference one @</a>, <a href=/y>two</a></p><p>More text here @</p></div>", "Some text here @ Reference one @, two More text here @"),
+        ("<article><p>Long text of the article @</p><div class=notice-text><p>A part @</p></div><p>and its end @</p></article>", "Long text of the article @ A part @ and its end @"),
+        ("<h1>Title @</h1><p>Text @</p><h2>Summary</h2><p>More @</p>", "Title @ Text @ Summary More @"),
+    ],
+)
+def test_no_article_text_is_lost(body, want):
+    assert _read(_site(body)) == [want.replace("@", f"{k} of page {k}") for k in range(5)]
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<div class=ad>Buy this @</div>", "<div class=sidebar-content>Side @</div>", "<div class=comment-text>Nice @</div>", "<div class=notice-text>We use cookies</div>", "<ul class=x9><li><a href=/@>See also @</a></li></ul>",
+        "<div class=x8>Sponsored by nobody</div>", "<footer>Page @</footer>", "<form>Name @</form>", "<div class=x7><div>Remark @</div><div>Remark @ again</div></div>",
+    ],
+)
+def test_what_stands_beside_an_article_is_no_text(extra):
+    for body in (f"<article><p>Text of the article @</p><p>More of it @</p></article>{extra}", f"{extra}<article><p>Text of the article @</p><p>More of it @</p></article>"):
+        assert _read(_site(body)) == [f"Text of the article {k} of page {k} More of it {k} of page {k}" for k in range(5)]
+
+
+def test_blocks_of_small_hosts_by_brute_force():
+    """Random hosts whose blocks are labelled as they are made; without telling names nothing but the wrapper decides."""
+    rng = random.Random(7)
+    for _ in range(60):
+        kinds = [rng.choice(["p", "h2", "fixed", "list", "links"]) for _ in range(rng.randrange(1, 8))]
+        pages, want = [], []
+        for k in range(4):
+            parts, text = [], []
+            for n, kind in enumerate(["p", *kinds, "p"]):
+                said = f"words {k} and {n} of {k * 31 + n} things that change {k}"
+                if kind == "fixed":
+                    said = f"Same heading {n}"
+                tag = {"p": "p", "h2": "h2", "fixed": "h3"}.get(kind)
+                if tag:
+                    parts.append(f"<{tag}>{said}</{tag}>")
+                elif kind == "list":
+                    parts.append(f"<ul><li>{said}</li><li>Same item</li></ul>")
+                    said += " Same item"
+                else:
+                    parts.append(f"<p><a href=/{k}>{said}</a></p>")
+                text.append(said)
+            pages.append(f"<html><body><div class=t1>Site name</div><div class=t2>{''.join(parts)}</div><div class=t3><a href=/{k}>Other page {k}</a></div><div class=t4>All rights reserved</div></body></html>")
+            want.append(" ".join(text))
+        assert _read(pages) == want, pages[0]
+
+
 def test_plans_survive_encoding():
     plan = html.Plan((("html", frozenset()), ("div", frozenset({"a", "b"}))), {(("p", frozenset({"x"})),)}, {(("p", frozenset()),)})
     again = html.Plan.decode(plan.encode())
