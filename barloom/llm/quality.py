@@ -16,7 +16,8 @@ dictionary counts in every part of a long text.
 Defined cases: null and empty texts have the score 0.5;
 rows are scored one by one, so equal rows get equal scores; a null id falls in
 the training fold but matches no label; documents with labels of both kinds
-count for both; with no labels the score is 0.5, with one kind only it is that
+count for both; of rows that share a labelled id, one takes part in the fit
+(by a hash of the text); with no labels the score is 0.5, with one kind only it is that
 kind's smoothed share; other columns are ignored.
 """
 
@@ -122,14 +123,17 @@ def fit(
         part = marked.where(F.col("y") == y).orderBy("order", "doc_id").limit(rows_per_label)
         sample = part if sample is None else sample.union(part)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # the sample has at most 2 * rows_per_label rows, whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id")
+    # the sample has at most 2 * rows_per_label rows, whatever the input; so have the lengths, one for each of them
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+    chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("y", "order", "doc_id").agg(F.min(F.struct("text_key", F.octet_length("text").alias("size"))).alias("least"))
     label_rows = W.partitionBy("y")
-    size, total = F.octet_length("text"), F.sum(F.octet_length("text")).over(label_rows)
     share = F.greatest(F.floor(F.lit(bytes_per_label) / F.count(F.lit(1)).over(label_rows)), F.lit(1)).cast("int")
-    rows = rows.withColumn("most", F.when(total > bytes_per_label, F.least(size, share)).otherwise(size))
-    at = (F.pmod(F.xxhash64("doc_id", "text"), size - F.col("most") + 1) + 1).cast("int")
-    rows = rows.withColumn("part", F.substring(F.col("text").cast("binary"), at, F.col("most"))).orderBy("y", "order", "text").select("y", F.col("part").alias("text")).toArrow()
+    chosen = chosen.select("y", "order", "doc_id", "least.text_key", "least.size")
+    chosen = chosen.withColumn("most", F.when(F.sum("size").over(label_rows) > bytes_per_label, F.least("size", share)).otherwise(F.col("size")))
+    # texts are cut where they are read; what travels has at most bytes_per_label for each label
+    at = (F.pmod(F.xxhash64("doc_id", "text"), F.col("size") - F.col("most") + 1) + 1).cast("int")
+    parts = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("y", "order", "doc_id", F.substring(F.col("text").cast("binary"), at, F.col("most")).alias("text"))
+    rows = parts.groupBy("y", "order", "doc_id").agg(F.min("text").alias("text")).orderBy("y", "order", "doc_id").select("y", "text").toArrow()
     y = np.array(rows["y"].to_pylist(), dtype=np.int64)
     texts = rows["text"].to_pylist()
     share = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)

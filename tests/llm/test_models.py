@@ -269,6 +269,29 @@ def test_long_labelled_text_keeps_the_sample(spark):
     assert min(got[k] for k in got if k % 2) > max(got[k] for k in got if not k % 2)
 
 
+def test_repeated_labelled_ids_enter_the_fit_once(spark):
+    rows = [(k, "good clear words in order " * 5 + str(k) if k % 2 else "buy cheap pills now click " * 5 + str(k)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    plain = quality.fit(spark, spark.createDataFrame(rows, "doc_id long, text string"), labels, rows_per_label=20)
+    again = quality.fit(spark, spark.createDataFrame(rows + rows[:40] * 30, "doc_id long, text string").repartition(5), labels, rows_per_label=20)
+    assert (again.dictionaries, again.curve) == (plain.dictionaries, plain.curve) and plain.curve is not None
+    # other texts under one id: one of them is taken, whatever the order of rows
+    other = rows + [(k, f"something else {k} {n}") for k in range(60) for n in range(9)]
+    two = [quality.fit(spark, spark.createDataFrame(o, "doc_id long, text string").repartition(3), labels, rows_per_label=20) for o in (other, other[::-1])]
+    assert (two[0].dictionaries, two[0].curve) == (two[1].dictionaries, two[1].curve)
+
+
+def test_quality_on_held_out_documents(spark):
+    """The share of held-out (good, bad) pairs that the score puts in order, through Spark (rows that settings were once chosen on)."""
+    from barloom.llm.queries import QUERIES
+
+    data = "/root/testdata/sf0.1"  # smaller tables hold out a dozen bad documents only
+    got = QUERIES["op10_quality_classifier"](spark, data).where("held_out").join(spark.read.parquet(f"{data}/labels.parquet").where("quality is not null"), "doc_id").select("score", "quality").collect()
+    good, bad = (np.array([r.score for r in got if r.quality == y]) for y in (1, 0))
+    order = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+    assert len(good) and len(bad) and order > 0.95, order
+
+
 def test_topics_are_learned(spark):
     """Documents of two vocabularies fall apart; the model is the same whatever the partitioning; expected tokens are recomputed."""
     rng = random.Random(8)
