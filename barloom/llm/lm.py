@@ -13,7 +13,8 @@ the whole corpus take part.
 
 Training is one pass of distributed gradient updates over all training texts.
 The texts are dealt by hash to parts whose number follows the number of tokens
-alone and are taken in the order of their hashes, so that scores depend neither
+alone (its root, then, from ``MOST_PART_TOKENS`` in each on, the number itself,
+so that more data are more tasks and not longer ones) and are taken in the order of their hashes, so that scores depend neither
 on the cluster nor on the files' layout.  Every part takes mini-batch steps from
 the common start and the results are averaged row by row, weighted by the
 squared gradients that a row has seen, so that parts which never met a feature
@@ -57,8 +58,10 @@ BATCH = 1 << 15
 RATE = 0.5
 #: Logits stay within this, in training and in scoring.
 LIMIT = np.float32(40)
-#: Training parts, and so partial models, grow with the root of the number of tokens: one for so many, two for four times as many.
+#: Training parts, each a task and a partial model, grow with the root of the number of tokens: one for so many, two for four times as many;
 PART_TOKENS = 1 << 19
+#: but no part has more than about so many tokens (some 50 MB of text), so in large corpora parts grow with the tokens.
+MOST_PART_TOKENS = 1 << 23
 #: Rows of weights that travel together.
 SHARD = 1024
 
@@ -210,7 +213,7 @@ def train(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> Model:
     model = Model(int(class_n.sum()), int(class_v.sum()), class_n, class_v)
     bias, shape = model.bias, model.weights.shape
     # neither the number of partial models nor what each is made from follows the cluster
-    n_parts = max(1, math.ceil(math.sqrt(model.n / PART_TOKENS)))
+    n_parts = max(1, math.ceil(math.sqrt(model.n / PART_TOKENS)), math.ceil(model.n / MOST_PART_TOKENS))
     salts = math.isqrt(n_parts)
 
     def run(batches):

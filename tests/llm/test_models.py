@@ -132,6 +132,40 @@ def test_lm_does_not_follow_the_cluster(spark, corpus, monkeypatch):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-5)
 
 
+def test_lm_whole_scores_by_brute_force(spark, monkeypatch):
+    """Scores of a small corpus, several parts: each word's digits softmax by softmax and its share in its class, added up in Python."""
+    monkeypatch.setattr(lm, "MOST_PART_TOKENS", 500)
+    rng = random.Random(9)
+    rows = [(k, sentence(rng, "en", rng.choice([0, 1, 2, 40])), "en", "a") for k in range(160)]
+    docs = documents(spark, rows)
+    got = {r.doc_id: r for r in lm.language_model(spark, docs).collect()}
+    training = docs.where(lm.fold(10) != 0).select("doc_id", "text")
+    model = lm.train(spark, training, lm.word_counts(training))
+    assert model.n > 2 * lm.MOST_PART_TOKENS
+    count, leaf_of = Counter(), {}
+    for i, t, *_ in rows:
+        tokens = one_text(t)
+        names = [*words(t), "\0end"]
+        leaf_of.update(zip(names, tokens.leaf.tolist(), strict=True))
+        if crc(i, 10):
+            count.update(names)
+    class_n, class_v = Counter(), Counter()
+    for w, c in count.items():
+        class_n[leaf_of[w]] += c
+        class_v[leaf_of[w]] += 1
+    for i, t, *_ in rows:
+        tokens, want = one_text(t), 0.0
+        features = tokens.features()
+        for k, w in enumerate([*words(t), "\0end"]):
+            for level in range(lm.LEVELS):
+                z = [float(x) for x in model.bias[level][tokens.before[level][k]]]
+                for kind, r in enumerate(tokens.rows(features, level, model.buckets)):
+                    z = [x + float(y) for x, y in zip(z, model.weights[level, kind, r[k]])]
+                want += (z[int(tokens.digits[level][k])] - math.log(sum(map(math.exp, z)))) / math.log(10)
+            want += math.log10((count[w] + 0.1) / (class_n[leaf_of[w]] + 0.1 * (class_v[leaf_of[w]] + 1)))
+        assert got[i].score == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_without_rows(spark):
     assert lm.language_model(spark, documents(spark, [])).count() == 0
     held = next(i for i in range(1000) if not crc(i, 10))
