@@ -220,3 +220,19 @@ def test_beta_function_and_draws(spark):
     few = spark.createDataFrame([("good",), ("bad",)], "operator string")
     picked = posterior.picks(outcomes, outcomes.select("context").union(spark.createDataFrame([("new",)], "context string")), few, 1).collect()
     assert {r.context for r in picked} == {"c", "new"} and [r.operator for r in picked if r.context == "c"] == ["good"]
+
+
+def test_keys_that_stay_whole_are_shuffled_once(spark):
+    # the ranges of many short keys: a shuffle of the ranges by key serves the sums, both sweeps and the result
+    x = spark.range(4000).selectExpr("id % 2000 k", "id div 2000 * 7 start", "id div 2000 * 7 + 5 stop")
+    y = spark.range(4000).selectExpr("id % 3000 k", "id % 9 start", "id % 9 + 2 stop")
+    got = sweep.subtract(x, y, ["k"], 200_000)
+    days = {}
+    for r in got.collect():
+        days.setdefault(r.k, set()).update(range(r.start, r.stop))
+    cuts = {}
+    for i in range(4000):
+        cuts.setdefault(i % 3000, set()).update((i % 9, i % 9 + 1))
+    assert days == {k: d for k in range(2000) if (d := (set(range(5)) | set(range(7, 12))) - cuts[k])}
+    final = plan_of(got).split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
