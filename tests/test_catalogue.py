@@ -4,6 +4,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import catalogue, catalogue_tables  # noqa: F401
 
@@ -47,3 +48,17 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["symbol", "bar_idx", "macd", "z", "signal"] and df.count() > 0
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_rounding_equals_duckdb_near_ties(spark):
+    """Sums of money with eight decimals meet ties of six; both engines must round the same double alike."""
+    import duckdb
+    import pandas as pd
+
+    x = pd.DataFrame({"x": [sign * (k * 7919 % 40_000_000 + 0.5) * 1e-6 * 317 for k in range(1, 20_001) for sign in (1, -1)]})
+    x.loc[len(x)] = float("inf")
+    got = catalogue.rounded(spark.createDataFrame(x).withColumn("y", F.col("x")), "y").toPandas()
+    con = duckdb.connect()
+    con.register("v", x)
+    want = dict(con.sql("SELECT x, round(x, 6) FROM v").fetchall())
+    assert {a: b for a, b in zip(got.x, got.y) if want[a] != b} == {}
