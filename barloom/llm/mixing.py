@@ -9,13 +9,14 @@ repeated or partly lost run draws the same sample.
 The table of cells is the product of three label sets.  Up to ``CELLS`` cells
 it is raked on the driver; beyond, by the same steps on the distributed table.
 
-A document's topic is learned: the words of six bytes or more of at most
-``TOPIC_ROWS`` documents (a sample by a hash of their ids, of which only word counts reach
-the driver) are counted in ``TOPIC_WIDTH`` hashed columns, weighted by their
-rarity, and split into ``TOPICS`` groups by spherical k-means with a fixed start,
+A document's topic is learned from all documents: their words of six bytes or
+more are counted in ``TOPIC_WIDTH`` hashed columns, weighted by their
+rarity, and split into ``TOPICS`` groups by spherical k-means, whose every round is
+a pass over all profiles with sums in whole numbers (so that no order of rows counts),
 language by language (else topics would be languages again, whose targets
-contradict those of the languages); 0 is a language's largest group.  Languages
-with less than ``LEAST_ROWS`` documents in the sample share one model.
+contradict those of the languages); 0 is a language's largest group.  Only where the
+rounds begin is a choice: the least alike of a language's ``STARTS`` documents of smallest hash.
+Languages with less than ``LEAST_ROWS`` documents, and any beyond the ``MODELS`` largest, share one model.
 Every document has the topic of the nearest centre (the smallest of equals, -1
 without such words).  Tokens are words between white space.
 
@@ -36,6 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +45,15 @@ from barloom.llm import _text as X
 from barloom.llm._spark import Scratch, wide_rows
 
 TOPICS = 8
-#: Hashed columns of a document's word counts, and the documents of which topics are learned at most.
+#: Hashed columns of a document's word counts.
 TOPIC_WIDTH = 512
-TOPIC_ROWS = 2000
+STARTS = 128
 LEAST_ROWS = 40
+MODELS = 64
+#: Rounds end where the sum of similarities grows by less than this share.
+_GAIN = 1e-4
+_UNITS = 1 << 30
+_REST = "\0rest"
 CELLS = 200_000
 #: Cells up to this number have their probabilities broadcast (a few MB); more are joined.
 MOST_BROADCAST = 50_000
@@ -79,40 +86,29 @@ def _unit(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _centres(counts: np.ndarray, k: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """The weight of each column and the centres of the topics, the largest first."""
-    seen = (counts > 0).sum(axis=0)
-    weight = np.log((len(counts) + 1.0) / (seen + 1.0)) + 0.1
-    x = _unit(counts, weight)
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row (the smallest of equals) and its similarity, in steps that no order of summing reaches."""
+    like = np.round(x @ centres.T, 9)
+    at = like.argmax(axis=1)
+    return at, like[np.arange(len(x)), at]
+
+
+def _starts(x: np.ndarray, k: int) -> np.ndarray:
+    """Some rows of `x`: each is the one that the starts before resemble least."""
     centres = np.zeros((k, TOPIC_WIDTH))
-    if not len(x):
-        return weight, centres
-    # each start is the document that the starts before resemble least
     best, at = np.full(len(x), -1.0), 0
     for j in range(k):
         centres[j] = x[at]
-        best = np.maximum(best, x @ centres[j])
+        best = np.maximum(best, np.round(x @ centres[j], 9))
         at = int(best.argmin())
-    for _ in range(rounds):
-        sums = np.zeros_like(centres)
-        np.add.at(sums, (x @ centres.T).argmax(axis=1), x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        new = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        if np.allclose(new, centres):
-            break
-        centres = new
-    own = np.bincount((x @ centres.T).argmax(axis=1), minlength=k)
-    return weight, centres[np.argsort(-own, kind="stable")]
+    return centres
 
 
 class Topics:
-    """Weights and centres of each language that the sample knows well, and of all others together; of a bounded size."""
+    """Weights and centres of each language that has a model, and of all others together; of a bounded size."""
 
-    def __init__(self, counts: np.ndarray, langs: list[str], k: int) -> None:
-        names = np.array(langs, dtype=object)
-        common = [v for v in sorted(set(langs)) if (names == v).sum() >= LEAST_ROWS]
-        self.models = {v: _centres(counts[names == v], k) for v in common}
-        self.rest = _centres(counts, k)
+    def __init__(self, models: dict[str, tuple[np.ndarray, np.ndarray]], rest: tuple[np.ndarray, np.ndarray]) -> None:
+        self.models, self.rest = models, rest
 
     def of(self, counts: np.ndarray, langs: list[str]) -> np.ndarray:
         out = np.full(len(counts), -1, dtype=np.int32)
@@ -120,26 +116,99 @@ class Topics:
         for v in set(langs):
             own = np.flatnonzero((names == v) & counts.any(axis=1))
             weight, centres = self.models.get(v, self.rest)
-            out[own] = (_unit(counts[own], weight) @ centres.T).argmax(axis=1)
+            out[own] = _nearest(_unit(counts[own], weight), centres)[0]
         return out
 
 
-def learn_topics(docs: DataFrame, k: int = TOPICS, most: int = TOPIC_ROWS) -> Topics:
-    """Topics of a sample of `docs`: about `most` rows by a hash of their ids, never more."""
-    rate = min(1.0, 1.2 * most / max(1, docs.count()))
+def _sparse(counts: np.ndarray) -> list[pa.Array]:
+    """The columns and the counts of each row that are not 0."""
+    row, at = np.nonzero(counts)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(counts)))])
+
+    def packed(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+    return [packed(at.astype("<u2")), packed(counts[row, at].astype("<i4"))]
+
+
+def _dense(at: list[bytes], n: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(at), TOPIC_WIDTH))
+    out[np.repeat(np.arange(len(at)), [len(v) // 2 for v in at]), np.frombuffer(b"".join(at), dtype="<u2")] = np.frombuffer(b"".join(n), dtype="<i4")
+    return out
+
+
+def _summed(known: DataFrame, k: int, tally) -> dict[str, np.ndarray]:
+    """For each model the sums over all its documents of what `tally` gives for some of them: `k` rows of TOPIC_WIDTH + 2 whole numbers."""
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, counts = np.array(batch.column(0).to_pylist(), dtype=object), _dense(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for v in sorted(set(names)):
+                sums.setdefault(v, np.zeros((k, TOPIC_WIDTH + 2), dtype=np.int64))
+                sums[v] += tally(v, counts[names == v])
+        for v, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["model", "place", "value"])
+
+    parts = known.select("model", "at", "n").mapInArrow(run, "model string, place int, value long")
+    found = parts.groupBy("model", "place").agg(F.sum("value").alias("value")).toArrow()  # k * (TOPIC_WIDTH + 2) rows a model at most
+    out: dict[str, np.ndarray] = {}
+    for v, place, value in zip(*(found[c].to_pylist() for c in ("model", "place", "value"))):
+        out.setdefault(v, np.zeros((k, TOPIC_WIDTH + 2), dtype=np.int64)).ravel()[place] = value
+    return out
+
+
+def learn_topics(docs: DataFrame, k: int = TOPICS, rounds: int = 25) -> Topics:
+    """Topics of all of `docs`; the driver holds sums of a bounded number of models."""
+    spark = docs.sparkSession
 
     def count(batches):
         for batch in batches:
             for i, j, w in X.text_words(batch.column(2), X.NON_SPACE):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(2)), X.binary_array(list(_profiles(w).astype(np.int32)))], ["order", "lang", "counts"])
-
-    order = F.xxhash64("doc_id", F.lit(7))
-    part = docs.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20))).select(order.alias("order"), _label("lang").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = part.mapInArrow(count, "order long, lang string, counts binary").orderBy("order", "lang", "counts").limit(most).toArrow()
-    values = [np.frombuffer(v, dtype=np.int32) for v in rows["counts"].to_pylist()]
-    counts = np.array(values).reshape(-1, TOPIC_WIDTH)
-    used = counts.any(axis=1)
-    return Topics(counts[used], [v for v, u in zip(rows["lang"].to_pylist(), used) if u], k)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(2)), *_sparse(_profiles(w))], ["order", "lang", "at", "n"])
+
+    def seen(_, counts):
+        out = np.zeros((1, TOPIC_WIDTH + 2), dtype=np.int64)
+        out[0, :TOPIC_WIDTH], out[0, TOPIC_WIDTH] = (counts > 0).sum(axis=0), len(counts)
+        return out
+
+    rows = docs.select(F.xxhash64("doc_id", F.lit(7)).alias("order"), _label("lang").alias("lang"), F.col("text").cast("string").alias("text"))
+    with Scratch(spark) as scratch:
+        known = scratch.table(rows.mapInArrow(count, "order long, lang string, at binary, n binary").where("length(at) > 0"), "profiles")
+        own = [r.lang for r in known.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(MODELS).collect()]
+        known = known.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(_REST))
+        weight = {v: np.log((t[0, TOPIC_WIDTH] + 1.0) / (t[0, :TOPIC_WIDTH] + 1.0)) + 0.1 for v, t in _summed(known, 1, seen).items()}
+        first = W.partitionBy("model").orderBy("order", "at", "n")
+        begin = known.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= STARTS).select("model", "_i", "at", "n").orderBy("model", "_i").collect()
+        centres = {v: _starts(_unit(_dense([r.at for r in begin if r.model == v], [r.n for r in begin if r.model == v]), weight[v]), k) for v in weight}
+        last = -1
+        for step in range(rounds):
+            held = spark.sparkContext.broadcast((weight, centres))
+
+            def tally(v, counts, held=held):
+                weights, now = held.value
+                x = _unit(counts, weights[v])
+                at, like = _nearest(x, now[v])
+                out = np.zeros((k, TOPIC_WIDTH + 2), dtype=np.int64)
+                np.add.at(out[:, :TOPIC_WIDTH], at, np.rint(x * _UNITS).astype(np.int64))
+                out[:, TOPIC_WIDTH] = np.bincount(at, minlength=k)
+                np.add.at(out[:, TOPIC_WIDTH + 1], at, np.rint(like * _UNITS).astype(np.int64))
+                return out
+
+            sums = _summed(known, k, tally)
+            held.unpersist()
+            like = sum(int(t[:, TOPIC_WIDTH + 1].sum()) for t in sums.values())
+            if step == rounds - 1 or like - last <= _GAIN * like:
+                break
+            last = like
+            for v, t in sums.items():
+                size = np.linalg.norm(t[:, :TOPIC_WIDTH].astype(float), axis=1, keepdims=True)
+                centres[v] = np.where(size > 0, t[:, :TOPIC_WIDTH] / np.maximum(size, 1e-12), centres[v])
+        # the largest group of a language first
+        models = {v: (weight[v], centres[v][np.argsort(-sums[v][:, TOPIC_WIDTH], kind="stable")]) for v in weight}
+    rest = models.pop(_REST, None) or (models[own[0]] if own else (np.zeros(TOPIC_WIDTH), np.zeros((k, TOPIC_WIDTH))))
+    return Topics(models, rest)
 
 
 def text_features(topics: Topics):

@@ -341,3 +341,20 @@ def test_topics_are_learned(spark):
     assert all_rows and all(r.residual > 0.5 for r in all_rows)  # s0 has a third of the tokens: the target cannot be met
     fine = mixing.sample(spark, docs, keep=0.5).collect()
     assert fine and all(0 <= r.residual < 1e-3 for r in fine)
+
+
+def test_topics_are_learned_from_every_document(spark):
+    """With more documents than any sample took: rarities count all of them, and each centre is the mean of all that are nearest to it."""
+    rng = random.Random(3)
+    words = [f"{a}{b}word" for a in ("alpha", "bravo", "candle", "delta") for b in range(12)]
+    rows = [(k, " ".join(rng.choice(words[k % 4 * 12 : k % 4 * 12 + 12]) for _ in range(15)), "en", "s") for k in range(2600)]
+    docs = documents(spark, rows)
+    weight, centres = mixing.learn_topics(docs, k=4).models["en"]
+    (_, _, w), = mixing.X.text_words(pa.array([r[1] for r in rows]), mixing.X.NON_SPACE)
+    counts = mixing._profiles(w)
+    assert np.allclose(weight, np.log(2601.0 / ((counts > 0).sum(axis=0) + 1.0)) + 0.1)
+    x = mixing._unit(counts, weight)
+    at = (x @ centres.T).argmax(axis=1)
+    for j in range(4):
+        mean = x[at == j].sum(axis=0)
+        assert (at == j).sum() == 650 and np.allclose(centres[j], mean / np.linalg.norm(mean), atol=1e-6)
