@@ -134,6 +134,23 @@ def test_layers(spark, step, block, shape):
     assert "BroadcastNestedLoop" not in plan_of(got)
 
 
+@pytest.mark.parametrize("shape", ["chain", "ties", "wide"])
+def test_layers_of_many(spark, shape, monkeypatch):
+    """Every layer of a table with far more layers than one pass takes, without a pass for each few of them."""
+    rng = np.random.default_rng(6)
+    m = np.unique(rng.integers(0, {"chain": 3000, "ties": 9, "wide": 10**6}[shape], (600, 3)).astype(float), axis=0)
+    if shape == "chain":
+        m = np.sort(m, axis=0)
+        m[0, 0], m[-1, 1] = -np.inf, np.inf
+    monkeypatch.setattr(ranking, "_chained", None)
+    monkeypatch.setattr(ranking, "_layered", None)
+    for k in (2, 3):
+        v = np.unique(m[:, :k], axis=0)
+        df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "id long, " + ", ".join(f"c{c} double" for c in range(k)))
+        found = {r.id: r.front for r in ranking.layers(df, [f"c{c}" for c in range(k)], block=80).collect()}
+        assert found == dict(enumerate(brute_layers(v).tolist()))
+
+
 SCORED = "cell int, candidate string, n long, feasible boolean, total_violation double, x double, y double"
 
 
