@@ -82,7 +82,9 @@ def _profiles(w: X.Words) -> np.ndarray:
 
 
 def _unit(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts) * weight
+    x = np.zeros(counts.shape)
+    at = np.nonzero(counts)
+    x[at] = np.log1p(counts[at]) * weight[at[1]]
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -131,10 +133,23 @@ def _sparse(counts: np.ndarray) -> list[pa.Array]:
     return [packed(at.astype("<u2")), packed(counts[row, at].astype("<i4"))]
 
 
-def _dense(at: list[bytes], n: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(at), TOPIC_WIDTH))
-    out[np.repeat(np.arange(len(at)), [len(v) // 2 for v in at]), np.frombuffer(b"".join(at), dtype="<u2")] = np.frombuffer(b"".join(n), dtype="<i4")
-    return out
+class Profiles:
+    """Word counts of some documents by hashed column, as those that are not 0: the row, the column and the count of each."""
+
+    def __init__(self, at: pa.Array, n: pa.Array) -> None:
+        columns, ends = X.unpack(at, "<u2")
+        self.rows, self.row = len(ends) - 1, np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        self.at, self.n = columns.astype(np.int64), X.unpack(n, "<i4")[0]
+
+    def unit(self, weight: np.ndarray) -> np.ndarray:
+        """The values of each row in proportion, the sum of their squares 1."""
+        x = np.log1p(self.n) * weight[self.at]
+        return x / np.maximum(np.sqrt(np.bincount(self.row, weights=x * x, minlength=self.rows)), 1e-12)[self.row]
+
+    def dense(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.rows, TOPIC_WIDTH))
+        out[self.row, self.at] = x
+        return out
 
 
 def _summed(known: DataFrame, k: int, tally) -> dict[str, np.ndarray]:
@@ -143,10 +158,12 @@ def _summed(known: DataFrame, k: int, tally) -> dict[str, np.ndarray]:
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, counts = np.array(batch.column(0).to_pylist(), dtype=object), _dense(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for v in sorted(set(names)):
+            names = batch.column(0).dictionary_encode()
+            code = names.indices.to_numpy()
+            for c, v in enumerate(names.dictionary.to_pylist()):
+                own = pa.array(np.flatnonzero(code == c))
                 sums.setdefault(v, np.zeros((k, TOPIC_WIDTH + 2), dtype=np.int64))
-                sums[v] += tally(v, counts[names == v])
+                sums[v] += tally(v, Profiles(batch.column(1).take(own), batch.column(2).take(own)))
         for v, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["model", "place", "value"])
@@ -168,9 +185,9 @@ def learn_topics(docs: DataFrame, k: int = TOPICS, rounds: int = 25) -> Topics:
             for i, j, w in X.text_words(batch.column(2), X.NON_SPACE):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(2)), *_sparse(_profiles(w))], ["order", "lang", "at", "n"])
 
-    def seen(_, counts):
+    def seen(_, profiles):
         out = np.zeros((1, TOPIC_WIDTH + 2), dtype=np.int64)
-        out[0, :TOPIC_WIDTH], out[0, TOPIC_WIDTH] = (counts > 0).sum(axis=0), len(counts)
+        out[0, :TOPIC_WIDTH], out[0, TOPIC_WIDTH] = np.bincount(profiles.at, minlength=TOPIC_WIDTH), profiles.rows
         return out
 
     rows = docs.select(F.xxhash64("doc_id", F.lit(7)).alias("order"), _label("lang").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -181,19 +198,23 @@ def learn_topics(docs: DataFrame, k: int = TOPICS, rounds: int = 25) -> Topics:
         weight = {v: np.log((t[0, TOPIC_WIDTH] + 1.0) / (t[0, :TOPIC_WIDTH] + 1.0)) + 0.1 for v, t in _summed(known, 1, seen).items()}
         first = W.partitionBy("model").orderBy("order", "at", "n")
         begin = known.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= STARTS).select("model", "_i", "at", "n").orderBy("model", "_i").collect()
-        centres = {v: _starts(_unit(_dense([r.at for r in begin if r.model == v], [r.n for r in begin if r.model == v]), weight[v]), k) for v in weight}
+        centres = {}
+        for v in weight:
+            starts = Profiles(*(pa.array([r[c] for r in begin if r.model == v], pa.binary()) for c in ("at", "n")))
+            centres[v] = _starts(starts.dense(starts.unit(weight[v])), k)
         last = -1
         for step in range(rounds):
             held = spark.sparkContext.broadcast((weight, centres))
 
-            def tally(v, counts, held=held):
+            def tally(v, profiles, held=held):
                 weights, now = held.value
-                x = _unit(counts, weights[v])
-                at, like = _nearest(x, now[v])
+                x = profiles.unit(weights[v])
+                at, like = _nearest(profiles.dense(x), now[v])
                 out = np.zeros((k, TOPIC_WIDTH + 2), dtype=np.int64)
-                np.add.at(out[:, :TOPIC_WIDTH], at, np.rint(x * _UNITS).astype(np.int64))
+                # whole numbers of some thousand rows: exact as doubles, too
+                out[:, :TOPIC_WIDTH] = np.bincount(at[profiles.row] * TOPIC_WIDTH + profiles.at, weights=np.rint(x * _UNITS), minlength=k * TOPIC_WIDTH).reshape(k, TOPIC_WIDTH)
                 out[:, TOPIC_WIDTH] = np.bincount(at, minlength=k)
-                np.add.at(out[:, TOPIC_WIDTH + 1], at, np.rint(like * _UNITS).astype(np.int64))
+                out[:, TOPIC_WIDTH + 1] = np.bincount(at, weights=np.rint(like * _UNITS), minlength=k)
                 return out
 
             sums = _summed(known, k, tally)

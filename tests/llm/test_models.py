@@ -358,3 +358,17 @@ def test_topics_are_learned_from_every_document(spark):
     for j in range(4):
         mean = x[at == j].sum(axis=0)
         assert (at == j).sum() == 650 and np.allclose(centres[j], mean / np.linalg.norm(mean), atol=1e-6)
+
+
+def test_profiles_that_are_not_zero_suffice():
+    """Rounds take the counts that are not 0 alone: the same values as of whole rows, whatever slice of a batch they come in."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 3, (40, mixing.TOPIC_WIDTH)) * (rng.random((40, mixing.TOPIC_WIDTH)) < 0.1)
+    counts[7] = 0
+    weight = rng.random(mixing.TOPIC_WIDTH) + 0.1
+    at, n = mixing._sparse(counts)
+    for i, j in ((0, 40), (5, 9), (7, 8)):
+        part = mixing.Profiles(at.slice(i, j - i), n.slice(i, j - i))
+        assert part.rows == j - i and np.allclose(part.dense(part.unit(weight)), mixing._unit(counts[i:j], weight), rtol=1e-13, atol=0)
+        whole = np.log1p(counts[i:j]) * weight
+        assert np.allclose(mixing._unit(counts[i:j], weight), whole / np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12))
