@@ -6,10 +6,13 @@ way, and each cell is summarised by its number of vectors, its radius and its
 longest vector.  From the summaries a query gets a lower bound of its k-th
 score (the pivots are data themselves) and, for each cell, an upper bound
 ``q.p + |q| r`` of any score in it; it is sent only to cells whose upper bound
-reaches the lower one.  Cells are cut into chunks of bounded size, so that a
-cell with very many vectors (copies) is spread over many tasks; each chunk
-solves its queries by one product of two matrices and gives at most k rows for
-a query, of which the best k remain.
+reaches the lower one.  Near cells share a bin of bounded size and a cell with
+very many vectors (copies) is cut into several.  A bin's vectors, followed by
+blocks of the queries that need one of its cells, pass a task as a stream; each
+block is solved by one product of two matrices and gives at most k rows for a
+query, of which the best k remain.  Nothing is broadcast but pivots and
+summaries: the queries sent are as many as their number times that of the bins
+where nothing can be pruned.
 
 Components are whole numbers, ``floor(scale * x)``; scores are exact as long
 as they fit 64 bits.
@@ -37,8 +40,10 @@ from barloom.llm import _text as X
 from barloom.llm._spark import Scratch, partitions
 
 SCALE = 256
-CHUNK = 2048
+CHUNK = 16_384
 MOST_PIVOTS = 2048
+#: Queries of a block.
+BLOCK = 128
 #: Whole numbers up to this are exact in doubles.
 _EXACT = 2.0**52
 
@@ -100,6 +105,17 @@ class Cells:
         distance = np.sqrt(((v - self.exact[cell]) ** 2).sum(axis=1))
         return cell, distance, np.sqrt(squares)
 
+    def deal(self, chunk: int) -> None:
+        """The bins of each cell, `parts` from `first` on: about `chunk` vectors in each."""
+        self.parts = np.maximum(1, -(-self.count // chunk))
+        heads = self.exact[: max(1, int(self.count.sum()) // chunk)]
+        near = ((heads**2).sum(axis=1)[None, :] - 2 * self.exact @ heads.T).argmin(axis=1) if len(self.ids) else np.zeros(0, dtype=np.int64)
+        order = np.argsort(near, kind="stable")
+        long, short = np.flatnonzero(self.parts > 1), order[self.parts[order] == 1]
+        self.first = np.zeros(len(self.ids), dtype=np.int64)
+        self.first[long] = np.cumsum(self.parts[long]) - self.parts[long]
+        self.first[short] = self.parts[long].sum() + (np.cumsum(self.count[short]) - self.count[short]) // chunk
+
     def needed(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
         """Which cells (columns) may hold one of the k best of each query (rows)."""
         score = products(queries, self.pivots).astype(np.float64)
@@ -174,45 +190,69 @@ def top_k(
         summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.max("length").alias("longest")).collect()  # one row for each pivot at most
         for r in summary:
             cells.count[r["cell"]], cells.radius[r["cell"]], cells.longest[r["cell"]] = r["n"], r["radius"], r["longest"]
+        cells.deal(min(chunk, max(2048, n // 64)))
         held = spark.sparkContext.broadcast(cells)
-        chunks_of = np.maximum(1, -(-cells.count // chunk))
-
-        def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            ids = table["vec_id"].to_numpy()
-            return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([_matrix(table["v"].combine_chunks(), dim).tobytes()], pa.binary())})
-
-        sizes = spark.createDataFrame([(int(c), int(p)) for c, p in enumerate(chunks_of)], "cell int, parts int")
-        salted = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int"))
-        packs = salted.select("cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(pack, "cell int, part int, ids binary, vectors binary")
+        names = ["bin", "kind", "cell", "vec_id", "v", "ids", "keys"]
+        schema = "bin long, kind int, cell int, vec_id long, v binary, ids binary, keys binary"
+        dealt = spark.createDataFrame([(c, int(a), int(p)) for c, (a, p) in enumerate(zip(cells.first, cells.parts))], "cell int, first long, parts long")
+        part = F.pmod(F.xxhash64("vec_id", "v"), "parts")
+        stored = placed.join(F.broadcast(dealt), "cell").select((F.col("first") + part).alias("bin"), F.lit(0).alias("kind"), "cell", "vec_id", "v", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "keys")))
 
         def send(batches):
             own = held.value
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
                 q = _matrix(batch.column(1), dim)
-                for a in range(0, len(ids), 1024):
-                    need = own.needed(ids[a : a + 1024], q[a : a + 1024], k)
-                    cell, part, idb, qb = [], [], [], []
+                for a in range(0, len(ids), BLOCK):
+                    at = slice(a, a + BLOCK)
+                    # most components are small
+                    packed = q[at].astype(np.int16) if np.abs(q[at]).max(initial=0) < 1 << 15 else q[at]
+                    need = own.needed(ids[at], q[at], k)
+                    wanted: dict[int, np.ndarray] = {}
                     for c in np.flatnonzero(need.any(axis=0)).tolist():
-                        r = np.flatnonzero(need[:, c]) + a
-                        parts = int(chunks_of[c])
-                        cell += [c] * parts
-                        part += range(parts)
-                        idb += [ids[r].tobytes()] * parts
-                        qb += [q[r].tobytes()] * parts
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(idb, pa.binary()), pa.array(qb, pa.binary())], ["cell", "part", "query_ids", "queries"])
-
-        asked = placed.where(queries).select("vec_id", "v", "cell").distinct().repartition(partitions(spark), "cell", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell", "vec_id").select("vec_id", "v")
-        sent = asked.mapInArrow(send, "cell int, part int, query_ids binary, queries binary")
+                        for b in range(int(own.first[c]), int(own.first[c] + own.parts[c])):
+                            wanted[b] = need[:, c] | wanted.get(b, False)
+                    bins = list(wanted)
+                    for s in range(0, len(bins), 64):
+                        some = bins[s : s + 64]
+                        rows_ = [np.flatnonzero(wanted[b]) for b in some]
+                        none = np.zeros(len(some), dtype=np.int64)
+                        columns = [pa.array(some, pa.int64()), pa.array(none + 1, pa.int32()), pa.array(none, pa.int32()), pa.array(none)]
+                        yield pa.RecordBatch.from_arrays([*columns, *(X.binary_array([x[r] for r in rows_]) for x in (packed, ids[at], keys[at]))], names)
+
+        asked = placed.where(queries).select("vec_id", "v", "cell").distinct().repartition(partitions(spark), "cell", F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell", "vec_id").select("vec_id", "v", F.xxhash64("v").alias("key"))
+        sent = asked.mapInArrow(send, schema)
 
         def solve(batches):
+            own = held.value
+            now, vectors, ids, cell = None, [], [], []
             for batch in batches:
-                for i in range(batch.num_rows):
-                    qi, q, ids, v = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.int64) for c in range(4))
-                    r, vec, score = best_of(qi, q.reshape(len(qi), dim), ids, v.reshape(len(ids), dim), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[r]), X.binary_array(list(q.reshape(len(qi), dim)[r])), pa.array(vec), pa.array(score)], ["query_id", "q", "vec_id", "score"])
-
-        found = sent.join(packs, ["cell", "part"]).select("query_ids", "queries", "ids", "vectors").mapInArrow(solve, "query_id long, q binary, vec_id long, score long")
+                bins, kinds = (batch.column(c).to_numpy() for c in (0, 1))
+                starts = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]) | (kinds[1:] != kinds[:-1])])) if len(bins) else []
+                for a, b in zip(starts, [*starts[1:], len(bins)]):
+                    if bins[a] != now:
+                        now, vectors, ids, cell = bins[a], [], [], []
+                    piece = batch.slice(a, b - a)
+                    if kinds[a] == 0:
+                        vectors.append(_matrix(piece.column(4), dim))
+                        ids.append(piece.column(3).to_numpy())
+                        cell.append(piece.column(2).to_numpy())
+                        continue
+                    if not ids:
+                        continue
+                    if len(ids) > 1:
+                        order = np.argsort(np.concatenate(ids), kind="stable")
+                        vectors, ids, cell = ([np.concatenate(x)[order]] for x in (vectors, ids, cell))
+                    for i in range(len(piece)):
+                        qi, key = (np.frombuffer(piece.column(c)[i].as_py(), dtype=np.int64) for c in (5, 6))
+                        packed = piece.column(4)[i].as_py()
+                        q = np.frombuffer(packed, dtype=f"i{len(packed) // (len(qi) * dim) if dim else 8}").astype(np.int64).reshape(len(qi), dim)
+                        use = own.needed(qi, q, k).any(axis=0)[cell[0]]
+                        r, vec, score = best_of(qi, q, ids[0][use], vectors[0][use], k) if not use.all() else best_of(qi, q, ids[0], vectors[0], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(key[r]), pa.array(vec), pa.array(score)], ["query_id", "q", "vec_id", "score"])
+
+        stream = stored.unionByName(sent).repartition(partitions(spark), "bin").sortWithinPartitions("bin", "kind")
+        found = stream.mapInArrow(solve, "query_id long, q long, vec_id long, score long")
         rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
         out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         return scratch.finish(out)

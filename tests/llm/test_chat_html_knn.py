@@ -242,6 +242,18 @@ def test_top_k_of_few_and_none(spark):
     assert knn.top_k(spark, spark.createDataFrame([(0, [1.0])], schema), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_broadcasts_no_queries_or_vectors(spark, monkeypatch):
+    """What the estimates took for small, queries times the cells that they need, had been gathered on the driver."""
+    plans = []
+    finish = knn.Scratch.finish
+    monkeypatch.setattr(knn.Scratch, "finish", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or finish(self, df))
+    vectors = [(i, np.random.default_rng(i).normal(0, 1, 4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = knn.top_k(spark, df, F.col("vec_id") % 2 == 0, chunk=16).collect()
+    assert len(got) == 1000
+    assert plans[0].count("BroadcastExchange") == 1 and plans[0].count("LocalTableScan") + plans[0].count("Scan ExistingRDD") == 1  # the bins of the cells
+
+
 def test_large_scores_are_exact():
     a = np.array([[3_000_000_019, 7]], dtype=np.int64)
     assert knn.products(a, a)[0, 0] == 3_000_000_019**2 + 49
