@@ -6,11 +6,17 @@ open, high, low, close, volume and, where known, spread_points.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.errors import SourceError
+from barloom.session import parts, ship
 
 #: Minutes in JSON exports count from 2000-01-01.
 EPOCH_2000 = 946_684_800
@@ -132,7 +138,72 @@ def dotted_text(ts: str) -> Column:
     return F.date_format(_utc(ts), "yyyy.MM.dd HH:mm")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, digest (SHA-256) of every file; a file is held whole in one task, 2 GB at most."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+#: Files of more bytes pass a task as a stream.
+WHOLE_FILE = 64 << 20
+#: Names that Spark's reader of lines takes for compressed text.
+_CODED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
+
+
+def _pieces(batches):
+    """file, start, number, size, content of what each batch has of a part of a file; a line feed ends each line, the last one too."""
+    now, number = None, 0
+    for batch in batches:
+        part = np.column_stack([batch.column(c).to_numpy() for c in (0, 1)])
+        begins = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]).any(axis=1)])) if len(part) else []
+        for a, b in zip(begins, [*begins[1:], len(part)]):
+            file, start = part[a].tolist()
+            now, number = (file, start), number + 1 if now == (file, start) else 0
+            lines = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(3).slice(a, b - a))
+            content = pc.binary_join(lines, pa.scalar(b"\n", pa.binary()))[0].as_py() + b"\n"
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (file, start, number, batch.column(2)[a].as_py())] + [pa.array([content], pa.binary())], ["file", "start", "number", "size", "content"])
+
+
+def _stream_digests(batches):
+    """file, digest of files whose pieces follow one another in order."""
+    now, size, read, ways = None, 0, 0, {}
+
+    def finish():
+        # the reader drops a byte order mark and does not tell whether a line feed ends the file
+        for mark, digest in ways.items():
+            if size - read - len(mark) in (-1, 0):
+                digest.update(b"\n" * (size - read - len(mark) + 1))
+                return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([digest.hexdigest()])], ["file", "digest"])
+        raise SourceError("a file was read to another length than it has", size=size, read=read)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            file, content = batch.column(0)[i].as_py(), memoryview(batch.column(4)[i].as_buffer())
+            if file != now:
+                if ways:
+                    yield finish()
+                now, size, read, ways = file, batch.column(3)[i].as_py(), 0, {mark: hashlib.sha256(mark) for mark in (b"", b"\xef\xbb\xbf")}
+            for digest in ways.values():
+                digest.update(b"\n" if read else b"")
+                digest.update(content[:-1])
+            read += len(content)
+    if ways:
+        yield finish()
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """path, length, digest (SHA-256) of every file that is not empty.
+
+    Files of up to `whole` bytes are held whole where they are read.  The digest of a
+    longer one is a chain over its bytes: its parts are read in many tasks, as
+    lines whatever it holds, and their pieces pass one task in order, a batch at a
+    time.  Longer files that are named as compressed ones, which Spark would unpack, are held whole, 2 GB at most.
+    """
+
+    def files(**options):
+        return spark.read.format("binaryFile").options(recursiveFileLookup=True, **options).load(path)
+
+    ship(spark)
+    held = files().where(F.col("length") <= whole).unionByName(files(pathGlobFilter="*.{%s}" % ",".join(_CODED)).where(F.col("length") > whole))
+    m = F.col("_metadata")
+    lines = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path).where((m["file_size"] > whole) & ~m["file_path"].rlike(r"\.(%s)$" % "|".join(_CODED)))
+    lines = lines.select(F.xxhash64(m["file_path"]).alias("file"), m["file_block_start"].alias("start"), m["file_size"].alias("size"), F.col("value").cast("binary").alias("value"))
+    pieces = lines.mapInArrow(_pieces, "file long, start long, number long, size long, content binary")
+    ordered = pieces.repartition(parts(spark), "file").sortWithinPartitions("file", "start", "number")
+    streamed = ordered.mapInArrow(_stream_digests, "file long, digest string")
+    named = files().where(F.col("length") > whole).select("path", "length", F.xxhash64(m["file_path"]).alias("file"))
+    return held.select("path", "length", F.sha2("content", 256).alias("digest")).unionByName(named.join(streamed, "file").select("path", "length", "digest"))

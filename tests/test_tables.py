@@ -253,3 +253,30 @@ def test_keys_that_stay_whole_are_shuffled_once(spark):
     assert days == {k: d for k in range(2000) if (d := (set(range(5)) | set(range(7, 12))) - cuts[k])}
     final = plan_of(got).split("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
+
+
+def test_digests_of_files_beyond_the_reader_of_whole_files(spark, tmp_path):
+    """Longer files pass as lines in parts; whatever they hold, every byte counts once."""
+    import gzip
+    import hashlib
+
+    from barloom.sources.bars import file_digests
+
+    rng = np.random.default_rng(3)
+    contents = {
+        "random.parquet": rng.bytes(300_000), "few.bin": rng.choice(np.frombuffer(b"\n\ra", np.uint8), 150_001).tobytes(), "feeds": b"\n" * 9_000, "no_feed": b"x" * 70_000, "ended": b"ab\r\n" * 500 + b"\n",
+        "mark.txt": b"\xef\xbb\xbf" + b"line\n" * 900, "mark only": b"\xef\xbb\xbf" * 700, "wide/row name.csv": b"\xff\xfe,\x00\n" * 1000 + b"end", "short": b"\n", "packed.gz": gzip.compress(rng.bytes(4000)),
+    }
+    (tmp_path / "wide").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    conf = {"spark.sql.sources.binaryFile.maxLength": "5000", "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.execution.arrow.maxRecordsPerBatch": "300"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.path.removeprefix(f"file:{tmp_path}/"): (r.length, r.digest) for r in file_digests(spark, str(tmp_path), whole=1000).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {name: (len(c), hashlib.sha256(c).hexdigest()) for name, c in contents.items()}
