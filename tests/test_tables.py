@@ -280,3 +280,25 @@ def test_digests_of_files_beyond_the_reader_of_whole_files(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {name: (len(c), hashlib.sha256(c).hexdigest()) for name, c in contents.items()}
+
+
+def test_layers_of_large_tables_take_few_diagonals(spark, monkeypatch):
+    """The strips had grown as fast as the rows, for none was to have more than 10 blocks; now only a cell that is too large makes more of them."""
+    asked = []
+    dealt = ranking._dealt
+
+    def counted(*given):
+        asked.append((out := dealt(*given))[1])
+        return out
+
+    monkeypatch.setattr(ranking, "_dealt", counted)
+    rng = np.random.default_rng(5)
+    spread = rng.permuted(np.tile(np.arange(300), (3, 1)), axis=1).T.astype(float)
+    line = np.repeat(np.arange(150.0), 3).reshape(-1, 3)
+    for v, tries in ((spread, 1), (line, 2)):
+        asked.clear()
+        df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(v)], "id long, x double, y double, z double")
+        block = 4 if tries == 1 else 1
+        found = {r.id: r.front for r in ranking.layers(df, ["x", "y", "z"], block=block).collect()}
+        assert found == dict(enumerate(brute_layers(v).tolist())) and asked[-1] <= 10 * block
+    assert ranking._strips(216_000_000, 50_000) < 60
